@@ -1,12 +1,18 @@
 """All registered queries of this subpackage and their SQL (none of them can be said in SQL; see tests/llm)."""
 
-from . import leakage, lookalike, spans
+from . import leakage, lookalike, mixing, sentences, spam, spans, truncation
 
 QUERIES = {
     "p1_found": spans.p1_found,
     "p1_shares": spans.p1_shares,
     "p4_found": lookalike.p4_found,
+    "p5_found": truncation.p5_found,
+    "p5_rates": truncation.p5_rates,
+    "p6_found": sentences.p6_found,
     "p7_found": leakage.p7_found,
     "p7_items": leakage.p7_items,
+    "p8_mix": mixing.p8_mix,
+    "p8_shares": mixing.p8_shares,
+    "p9_found": spam.p9_found,
 }
 SQL: dict[str, str] = {}
