@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import table
+from ..plans.runtime import materialize, table
 from .codes import code_points, mixed, pieces, rolling
 from .lookalike import canonical
 from .sentences import BREAK, CLOSING, HIDDEN, NEVER, THAI, WORDS_OF_ONE, _before, _depth, units
@@ -230,7 +230,7 @@ class Model:
 
 def trained(texts: DataFrame) -> Model:
     counts = texts.select("lang", "text").mapInArrow(_count, "lang string, key long, n long, n_end long")
-    counts = counts.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
+    counts = materialize(counts.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
     kept = (
         counts.where(f"lang is null and n >= {LEAST}").groupBy(F.expr(f"key & {CELLS - 1}").alias("cell"))
         .agg(F.max(F.struct("n", "key", "n_end")).alias("x")).select(F.lit(None).cast("string").alias("lang"), "x.key", "x.n", "x.n_end")
