@@ -1,7 +1,7 @@
 """All registered queries of the core and their SQL."""
 
-from .operators import differences, orphans
+from .operators import compare, differences, orphans, quality, search
 
-MODULES = [orphans, differences]
+MODULES = [orphans, differences, quality, compare, search]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
