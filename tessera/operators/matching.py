@@ -92,7 +92,7 @@ def cutoff_tail(rows: DataFrame, anchor: int = 48, most: int = 320, continuation
     letters = lambda c: F.regexp_replace(c, r"[^\p{L}]", "")
     r = rows.withColumns({"_t": letters(F.col("text")), "_w": letters(F.col("witness"))})
     lengths = F.sequence(F.lit(most), F.lit(anchor), F.lit(-1))
-    tail = F.filter(lengths, lambda n: (F.length("_t") >= n) & F.contains(F.col("_w"), F.substring(F.col("_t"), F.length("_t") - n + 1, n)))[0]
+    tail = F.get(F.filter(lengths, lambda n: (F.length("_t") >= n) & F.contains(F.col("_w"), F.substring(F.col("_t"), F.length("_t") - n + 1, n))), F.lit(0))
     r = r.withColumn("tail", tail).withColumn("_s", F.substring(F.col("_t"), F.length("_t") - F.col("tail") + 1, F.col("tail")))
     at = F.expr("instr(_w, _s)")
     rest = F.expr("substring(_w, instr(_w, _s) + 1)")

@@ -4,10 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so their Python workers need no installation."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="tessera-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(at))  # served by the driver
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table `name` of a folder of Parquet files."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
