@@ -38,6 +38,7 @@ PAD = max(ORDERS)
 CELLS = 1 << 22
 LEAST = 10  # a context seen less often stays with its shorter one
 PULL = 20.0  # weight of the shorter context's probability
+FEW = 10  # ends below which a language takes the threshold of all together
 PART = 0.1  # of the mean end probability, for the threshold
 
 CLOSED = re.compile(rf"(?:[\n\r  ]|<br\s*/?>|</p>)[\s{HIDDEN}]*\Z", re.I)
@@ -195,28 +196,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
+ANY = "*"  # all languages together, for one that the texts say nothing of
+
+
 class Model:
     """Probabilities that a unit ends after a context, with one threshold for each language."""
 
-    def __init__(self, cells: dict[int, tuple[int, int]], singles: dict[tuple[str, int], tuple[int, int]]):
-        self.cells, self.singles = cells, singles
-        total: dict[str, list[float]] = {}
-        for (lang, _), (n, e) in singles.items():
+    def __init__(self, cells: tuple[np.ndarray, np.ndarray, np.ndarray], singles: dict[tuple[str, int], tuple[int, int]]):
+        order = np.argsort(cells[0])
+        self.keys, self.seen, self.ends = (c[order] for c in cells)
+        pooled: dict[tuple[str, int], tuple[int, int]] = {}
+        for (_, c), (n, e) in singles.items():
+            have = pooled.get((ANY, c), (0, 0))
+            pooled[ANY, c] = (have[0] + n, have[1] + e)
+        self.singles = singles | pooled
+        total: dict[str, list[float]] = {ANY: [0, 0, 0.0]}
+        for (lang, _), (n, e) in self.singles.items():
             t = total.setdefault(lang, [0, 0, 0.0])
             t[0] += n
             t[1] += e
             t[2] += e * e / n
-        self.prior = {lang: (e + 0.5) / (n + 1) for lang, (n, e, _) in total.items()}
-        self.threshold = {lang: PART * (m / e if e else 1.0) for lang, (_, e, m) in total.items()}
-        n, e = sum(t[0] for t in total.values()), sum(t[1] for t in total.values())
-        self.any = ((e + 0.5) / (n + 1), 0.5 * PART)
+        self.prior = (total[ANY][1] + 0.5) / (total[ANY][0] + 1)
+        self.threshold = {lang: PART * m / e for lang, (_, e, m) in total.items() if e >= FEW}
 
     def probability(self, lang: str, text: str) -> float:
-        p = self.prior.get(lang, self.any[0])
+        if not text:
+            return self.prior
         codes = code_points(["\0" * PAD + text[-PAD:]])[0]
-        key = np.uint64(_language_key(lang))
-        for k in ORDERS[:1] if plain(text[-1:] or "\0") else ORDERS:
-            n, e = self.singles.get((lang, int(codes[-1])), (0, 0)) if k == 1 else self.cells.get(int(_keys(rolling(codes[-k:], k), key, k)[0]), (0, 0))
+        key, p = np.uint64(_language_key(lang)), self.prior
+        for known in (ANY, lang):  # one character: in all languages, then in this one
+            n, e = self.singles.get((known, int(codes[-1])), (0, 0))
+            p = (e + PULL * p) / (n + PULL)
+        for k in () if plain(text[-1]) else ORDERS[1:]:
+            cell = _keys(rolling(codes[-k:], k), key, k)[0]
+            at = int(np.searchsorted(self.keys, cell))
+            if at == len(self.keys) or self.keys[at] != cell:
+                break
+            n, e = int(self.seen[at]), int(self.ends[at])
             if n < LEAST:
                 break
             p = (e + PULL * p) / (n + PULL)
@@ -224,7 +240,7 @@ class Model:
 
     def log_odds(self, lang: str, text: str) -> float:
         """Log-odds of end against continuation, above the language's threshold; negative is cut."""
-        p, t = self.probability(lang, text), self.threshold.get(lang, self.any[1])
+        p, t = self.probability(lang, text), self.threshold.get(lang, self.threshold.get(ANY, PART))
         return float(np.log(p / (1 - p + 1e-12) + 1e-12) - np.log(t / (1 - t)))
 
 
@@ -233,16 +249,14 @@ def trained(texts: DataFrame) -> Model:
     counts = materialize(counts.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
     kept = (
         counts.where(f"lang is null and n >= {LEAST}").groupBy(F.expr(f"key & {CELLS - 1}").alias("cell"))
-        .agg(F.max(F.struct("n", "key", "n_end")).alias("x")).select(F.lit(None).cast("string").alias("lang"), "x.key", "x.n", "x.n_end")
+        .agg(F.max(F.struct("n", "key", "n_end")).alias("x")).select("x.key", "x.n", "x.n_end")
     )
-    rows = kept.unionByName(counts.where("lang is not null")).toArrow().to_pydict()
-    cells, singles = {}, {}
-    for lang, key, n, e in zip(rows["lang"], rows["key"], rows["n"], rows["n_end"]):
-        if lang is None:
-            cells[key] = (n, e)
-        else:
-            singles[lang, key] = (n, e)
-    return Model(cells, singles)
+    cells = kept.toArrow()
+    singles = counts.where("lang is not null").toArrow().to_pydict()
+    return Model(
+        tuple(cells[c].to_numpy() for c in ("key", "n", "n_end")),
+        {(lang, key): (n, e) for lang, key, n, e in zip(singles["lang"], singles["key"], singles["n"], singles["n_end"])},
+    )
 
 
 def _judge(shared):
