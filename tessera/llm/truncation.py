@@ -67,9 +67,12 @@ def group_of(lang: str | None, text: str) -> str:
 
 
 def last_line(text: str) -> str:
-    at = 0
-    for m in BREAK.finditer(text):
-        at = m.end()
+    """What stands after the last line break or tag."""
+    at = max(text.rfind("\n"), text.rfind("\r"), text.rfind("\u2028"), text.rfind("\u2029")) + 1
+    tag = len(text)
+    while (tag := text.rfind("<", at, tag)) >= 0:
+        if m := BREAK.match(text, tag):
+            return text[m.end() :].strip()
     return text[at:].strip()
 
 
@@ -219,29 +222,32 @@ class Model:
         self.prior = (total[ANY][1] + 0.5) / (total[ANY][0] + 1)
         self.threshold = {lang: PART * m / e for lang, (_, e, m) in total.items() if e >= FEW}
 
-    def probability(self, lang: str, text: str) -> float:
-        if not text:
-            return self.prior
-        codes = code_points(["\0" * PAD + text[-PAD:]])[0]
-        key, p = np.uint64(_language_key(lang)), self.prior
-        for known in (ANY, lang):  # one character: in all languages, then in this one
-            n, e = self.singles.get((known, int(codes[-1])), (0, 0))
-            p = (e + PULL * p) / (n + PULL)
-        for k in () if plain(text[-1]) else ORDERS[1:]:
-            cell = _keys(rolling(codes[-k:], k), key, k)[0]
-            at = int(np.searchsorted(self.keys, cell))
-            if at == len(self.keys) or self.keys[at] != cell:
-                break
-            n, e = int(self.seen[at]), int(self.ends[at])
-            if n < LEAST:
+    def log_odds(self, langs: list[str], texts: list[str]) -> np.ndarray:
+        """For the end of every text, the log-odds of end against continuation above its language's threshold; negative is cut."""
+        if not texts:
+            return np.empty(0)
+        n = len(texts)
+        codes = code_points([("\0" * PAD + t[-PAD:])[-PAD:] for t in texts])[0]
+        last = codes[PAD - 1 :: PAD]
+        p = np.full(n, self.prior)
+        for any_language in (True, False):  # one character: in all languages, then in this one
+            got = np.array([self.singles.get((ANY if any_language else g, c), (0, 0)) for g, c in zip(langs, last.tolist())], float)
+            p = (got[:, 1] + PULL * p) / (got[:, 0] + PULL)
+        names = {g: np.uint64(_language_key(g)) for g in set(langs)}
+        language = np.array([names[g] for g in langs], np.uint64)
+        going = np.array([t != "" and not plain(t[-1]) for t in texts]) & (len(self.keys) > 0)
+        for k in ORDERS[1:]:
+            here = np.flatnonzero(going)
+            if not len(here):
                 break
-            p = (e + PULL * p) / (n + PULL)
-        return p
-
-    def log_odds(self, lang: str, text: str) -> float:
-        """Log-odds of end against continuation, above the language's threshold; negative is cut."""
-        p, t = self.probability(lang, text), self.threshold.get(lang, self.threshold.get(ANY, PART))
-        return float(np.log(p / (1 - p + 1e-12) + 1e-12) - np.log(t / (1 - t)))
+            key = _keys(rolling(codes, k)[here * PAD + PAD - k], language[here], k)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[at] == key
+            going[here[~known]] = False
+            here, at = here[known], at[known]
+            p[here] = (self.ends[at] + PULL * p[here]) / (self.seen[at] + PULL)
+        t = np.array([self.threshold.get(g, self.threshold.get(ANY, PART)) for g in langs])
+        return np.log(p / (1 - p + 1e-12) + 1e-12) - np.log(t / (1 - t))
 
 
 def trained(texts: DataFrame) -> Model:
@@ -262,21 +268,15 @@ def trained(texts: DataFrame) -> Model:
 def _judge(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        memo: dict[tuple[str, str], float] = {}
         for batch in batches:
-            odds, why, cut = [], [], []
-            for lang, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                kind, rest = structure(text)
-                o = None
-                if kind == "ask":
-                    key = (group_of(lang, text), rest[-PAD:])
-                    if (o := memo.get(key)) is None:
-                        if len(memo) > 200_000:
-                            memo.clear()
-                        o = memo[key] = model.log_odds(*key)
-                odds.append(o)
-                cut.append(kind == "cut" or o is not None and o < 0)
-                why.append("structure" if o is None else "model")
+            found = [structure(t) for t in batch.column(2).to_pylist()]
+            ask = [i for i, (kind, _) in enumerate(found) if kind == "ask"]
+            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            odds: list[float | None] = [None] * len(found)
+            for i, o in zip(ask, model.log_odds([group_of(langs[i], texts[i]) for i in ask], [found[i][1] for i in ask]).tolist()):
+                odds[i] = o
+            cut = [kind == "cut" or o is not None and o < 0 for (kind, _), o in zip(found, odds)]
+            why = ["structure" if o is None else "model" for o in odds]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.bool_()), pa.array(why, pa.string()), pa.array(odds, pa.float64())], names=["id", "truncated", "decided_by", "log_odds"])
 
     return run
