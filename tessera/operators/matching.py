@@ -22,12 +22,13 @@ def tokens(c: Column) -> Column:
 
 
 def runs(texts: DataFrame, key: list[str], words: int = WORDS) -> DataFrame:
-    """(key..., pos, gram): the hash of every run of `words` tokens; shorter texts give none."""
-    t = texts.where("text is not null").withColumn("_t", tokens(F.col("text")))
-    each = t.where(F.size("_t") >= words).select(
-        *key, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_t") - words), lambda i: F.xxhash64(F.slice("_t", i + 1, words)))).alias("pos", "gram")
-    )
-    return each
+    """(key..., pos, gram): the hash of every run of `words` tokens; shorter texts give none.
+
+    Tokens are hashed once, runs are hashes of hashes; equal hashes are checked word by word where it matters.
+    """
+    t = texts.where("text is not null").select(*key, F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("_h")).where(F.size("_h") >= words)
+    grams = F.transform(F.sequence(F.lit(0), F.size("_h") - words), lambda i: F.xxhash64(F.slice("_h", i + 1, words)))
+    return t.select(*key, F.posexplode(grams).alias("pos", "gram"))
 
 
 def shared_runs(mentions: DataFrame, blocks: DataFrame, m_key: str, b_keys: list[str], words: int = WORDS) -> DataFrame:
@@ -104,9 +105,11 @@ def cutoff_tail(rows: DataFrame, anchor: int = 48, most: int = 320, continuation
 
 def repeated_runs(texts: DataFrame, key: str, words: int = WORDS) -> DataFrame:
     """(gram_sha256, n_texts): runs of `words` tokens that stand in two texts or more, digests instead of text."""
-    t = texts.where("text is not null").select(key, tokens(F.col("text")).alias("_t")).where(F.size("_t") >= words)
-    g = t.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_t") - words), lambda i: F.unhex(F.md5(F.array_join(F.slice("_t", i + 1, words), " ")))))).alias("g"))
-    return g.groupBy("g").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1").select(F.lower(F.hex("g")).alias("gram_md5"), "n_texts")
+    g = runs(texts, [key], words)
+    often = g.groupBy("gram").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo < hi").select("gram")
+    places = g.join(often, "gram").select(key, "pos")
+    written = texts.select(key, tokens(F.col("text")).alias("_t")).join(places, key).select(key, F.md5(F.array_join(F.slice("_t", F.col("pos") + 1, words), " ")).alias("gram_md5"))
+    return written.distinct().groupBy("gram_md5").agg(F.count(F.lit(1)).alias("n_texts")).where("n_texts > 1")
 
 
 def _items(s, d):
