@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import table
+from ..plans.runtime import spread, table
 
 RUN = 10
 #: Items in one pass; at 60 words each, their tables take about 100 MB of Python memory at most.
@@ -117,7 +117,7 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = RUN, at_once: int = I
     Null ids and texts, and items without a word, match nothing; a doc_id that occurs twice gives its rows once.
     """
     spark = documents.sparkSession
-    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    docs = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     rows = ((r.item_id, r.text) for r in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator())
     found = None
     while block := list(islice(rows, at_once)):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import materialize, table
+from ..plans.runtime import materialize, spread, table
 from .codes import pieces
 
 # Letters of other scripts that look like a Latin letter, and what they look like.
@@ -121,7 +121,7 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     Null or blank texts (blank once invisible characters are gone), null ids and null groups take part in nothing.
     """
     usable = texts.where("grp is not null and id is not null and text is not null").select("grp", "id", "text")
-    marked = materialize(usable.mapInArrow(_digest, "grp string, id long, look binary, exact long, changed boolean").where("look is not null"))
+    marked = materialize(spread(usable).mapInArrow(_digest, "grp string, id long, look binary, exact long, changed boolean").where("look is not null"))
     a, b = marked.where("changed").alias("a"), marked.alias("b")
     met = a.join(b, F.expr("a.look = b.look and a.grp = b.grp and a.exact <> b.exact and a.id <> b.id and (not b.changed or a.id < b.id)"))
     return met.select(F.col("a.grp").alias("grp"), F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
@@ -146,7 +146,7 @@ def _normalize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def normalized(texts: DataFrame) -> DataFrame:
     """`texts(id, text)` to (id, text in its canonical form, counts of what was odd in it); null texts give no row."""
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.where("text is not null").select("id", "text").mapInArrow(
+    return spread(texts.where("text is not null").select("id", "text")).mapInArrow(
         _normalize, f"id {kind}, text string, n_odd_forms int, n_mixed_tokens int, n_whole_tokens int"
     )
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.runtime import materialize, table
+from ..plans.runtime import materialize, spread, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SEED = 20_240_501
@@ -58,7 +58,7 @@ def _count(path: str):
 def counted(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """`documents(doc_id, source, lang, text)` to (doc_id, source, lang, n_tokens); null texts give no row."""
     kinds = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in ("doc_id", "source", "lang"))
-    return documents.where("text is not null").select("doc_id", "source", "lang", "text").mapInArrow(_count(tokenizer), f"{kinds}, n_tokens long")
+    return spread(documents.where("text is not null").select("doc_id", "source", "lang", "text")).mapInArrow(_count(tokenizer), f"{kinds}, n_tokens long")
 
 
 def _fill(nodes: list[dict], amount: float) -> float:

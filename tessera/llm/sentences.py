@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import table
+from ..plans.runtime import spread, table
 from .codes import pieces
 from .lookalike import canonical
 
@@ -217,7 +217,7 @@ def sentence_units(texts: DataFrame) -> DataFrame:
     the null id; repeated ids give repeated rows.
     """
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.where("text is not null").select("id", "text").mapInArrow(_run, f"id {kind}, start_pos int, end_pos int")
+    return spread(texts.where("text is not null").select("id", "text")).mapInArrow(_run, f"id {kind}, start_pos int, end_pos int")
 
 
 def p6_found(spark, folder: str) -> DataFrame:

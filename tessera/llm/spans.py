@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.runtime import materialize, table
+from ..plans.runtime import materialize, spread, table
 from .codes import code_points, mixed, pieces, rolling, sliding_min
 
 K, M, HOT = 150, 32, 4000
@@ -202,7 +202,7 @@ def shared_spans(texts: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> tu
     """
     long = texts.where(F.col("id").isNotNull() & (F.length("text") >= k)).select("id", F.xxhash64("text", F.length("text")).alias("td"), "text")
     same = long.groupBy("td").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
-    scanned = materialize(long.mapInArrow(_scan(k, m), "id long, td long, mh long, start int, nwin int"))
+    scanned = materialize(spread(long).mapInArrow(_scan(k, m), "id long, td long, mh long, start int, nwin int"))
     wanted = (
         scanned.groupBy("mh").agg(F.min("td").alias("lo"), F.max("td").alias("hi"), F.count(F.lit(1)).alias("n"))
         .where("lo < hi").select("mh", (F.col("n") > hot).alias("hot"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import materialize, table
+from ..plans.runtime import materialize, spread, table
 from .codes import code_points, mixed, pieces, rolling
 from .lookalike import canonical
 from .sentences import BREAK, CLOSING, HIDDEN, NEVER, THAI, WORDS_OF_ONE, _before, _depth, units
@@ -251,7 +251,7 @@ class Model:
 
 
 def trained(texts: DataFrame) -> Model:
-    counts = texts.select("lang", "text").mapInArrow(_count, "lang string, key long, n long, n_end long")
+    counts = spread(texts.select("lang", "text")).mapInArrow(_count, "lang string, key long, n long, n_end long")
     counts = materialize(counts.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
     kept = (
         counts.where(f"lang is null and n >= {LEAST}").groupBy(F.expr(f"key & {CELLS - 1}").alias("cell"))
@@ -290,7 +290,7 @@ def judged(texts: DataFrame) -> DataFrame:
     usable = texts.where("text is not null").select("id", "lang", "text")
     model = texts.sparkSession.sparkContext.broadcast(trained(usable))
     kind = texts.schema["id"].dataType.simpleString()
-    return usable.mapInArrow(_judge(model), f"id {kind}, truncated boolean, decided_by string, log_odds double")
+    return spread(usable).mapInArrow(_judge(model), f"id {kind}, truncated boolean, decided_by string, log_odds double")
 
 
 def _tafsirs(spark, folder: str) -> DataFrame:
