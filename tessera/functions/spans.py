@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..plans.runtime import spread
+
 
 def explode_spans(df: DataFrame, key: str, text: str, fn: Callable[[str], list[tuple]], columns: str) -> DataFrame:
     """One row (key, columns...) for each tuple that `fn` gives for a text; null texts give none.
@@ -26,4 +28,4 @@ def explode_spans(df: DataFrame, key: str, text: str, fn: Callable[[str], list[t
             )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.where(f"`{text}` is not null").select(key, text).mapInArrow(run, f"{key} {kind}, {columns}")
+    return spread(df.where(f"`{text}` is not null").select(key, text)).mapInArrow(run, f"{key} {kind}, {columns}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.folds import fold_match
 from ..functions.text import sha256
-from ..plans.runtime import table
+from ..plans.runtime import spread, table
 
 WORDS = 10
 #: Runs of the queried side below which it is sent to all executors; beyond, both sides are shuffled by run.
@@ -26,7 +26,7 @@ def runs(texts: DataFrame, key: list[str], words: int = WORDS) -> DataFrame:
 
     Tokens are hashed once, runs are hashes of hashes; equal hashes are checked word by word where it matters.
     """
-    t = texts.where("text is not null").select(*key, F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("_h")).where(F.size("_h") >= words)
+    t = spread(texts.where("text is not null").select(*key, "text")).select(*key, F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("_h")).where(F.size("_h") >= words)
     grams = F.transform(F.sequence(F.lit(0), F.size("_h") - words), lambda i: F.xxhash64(F.slice("_h", i + 1, words)))
     return t.select(*key, F.posexplode(grams).alias("pos", "gram"))
 

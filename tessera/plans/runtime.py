@@ -32,6 +32,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan that comes in fewer pieces than there are cores, before work that is heavy per row.
+
+    A small table in one file would otherwise keep one core busy; a scan with more pieces passes unchanged.
+    """
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString():  # not a scan; asking it for its pieces would run it
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = plan.toRdd().getNumPartitions()
+    return df.repartition(cores) if 0 < pieces < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, or where that is unset one made for this session.
 
