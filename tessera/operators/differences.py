@@ -56,10 +56,11 @@ def differences(left: DataFrame, right: DataFrame, keys: list[str], values: list
         rows = rows.select(*keys, *(F.when(F.col(f"d_{v}") | F.col("d_key"), F.col(v)).alias(v) for v in values))
         return rows.groupBy(*keys).agg(*(F.min(v).alias(f"{side}_{v}") for v in values), F.lit(True).alias(f"{side}_here"))
 
-    l, r = suspect(left, "l"), suspect(right, "r")
-    on = reduce(lambda a, b: a & b, (l[k].eqNullSafe(r[k]) for k in keys))
+    l = suspect(left, "l")
+    r = suspect(right, "r").withColumnsRenamed({k: f"r_key_{k}" for k in keys})  # both may come from one table
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"r_key_{k}")) for k in keys))
     met = l.join(r, on, "full_outer").select(
-        *(F.coalesce(l[k], r[k]).alias(k) for k in keys), "l_here", "r_here", *(f"{s}_{v}" for s in "lr" for v in values)
+        *(F.when(F.col("l_here"), F.col(k)).otherwise(F.col(f"r_key_{k}")).alias(k) for k in keys), "l_here", "r_here", *(f"{s}_{v}" for s in "lr" for v in values)
     )
     found = F.when(F.col("r_here").isNull(), F.array(F.lit(f"only_in_{names[0]}"))).when(F.col("l_here").isNull(), F.array(F.lit(f"only_in_{names[1]}"))).otherwise(
         F.array_compact(F.array(*(F.when(~F.col(f"l_{v}").eqNullSafe(F.col(f"r_{v}")), F.lit(v)) for v in values)))

@@ -25,10 +25,10 @@ def pinned_texts(spark: SparkSession, path: str, pins: dict[str, str]) -> DataFr
 def against_manifest(members: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, status) of what differs between members(keys, digest) and manifest(keys, digest): missing, unlisted, changed."""
     m = members.groupBy(*keys).agg(F.min("digest").alias("got"), F.lit(True).alias("here"))
-    w = manifest.groupBy(*keys).agg(F.min("digest").alias("want"), F.lit(True).alias("listed"))
-    on = reduce(lambda a, b: a & b, (m[k].eqNullSafe(w[k]) for k in keys))
+    w = manifest.groupBy(*(F.col(k).alias(f"w_{k}") for k in keys)).agg(F.min("digest").alias("want"), F.lit(True).alias("listed"))
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"w_{k}")) for k in keys))
     status = F.when(F.col("here").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").when(~F.col("got").eqNullSafe(F.col("want")), "changed")
-    return m.join(w, on, "full_outer").select(*(F.coalesce(m[k], w[k]).alias(k) for k in keys), status.alias("status")).where("status is not null")
+    return m.join(w, on, "full_outer").select(*(F.when(F.col("here"), F.col(k)).otherwise(F.col(f"w_{k}")).alias(k) for k in keys), status.alias("status")).where("status is not null")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
