@@ -1,4 +1,4 @@
-"""All registered queries of this subpackage and their SQL (none of them can be said in SQL; see tests/llm)."""
+"""All registered queries of this subpackage, and SQL for those that SQL can say (tests/llm covers the others)."""
 
 from . import leakage, lookalike, mixing, sentences, spam, spans, truncation
 
@@ -15,4 +15,16 @@ QUERIES = {
     "p8_shares": mixing.p8_shares,
     "p9_found": spam.p9_found,
 }
-SQL: dict[str, str] = {}
+_WINDOWS = """
+WITH t AS (SELECT tafsir_id, text, length(text) AS n FROM tafsirs WHERE text IS NOT NULL),
+w AS (SELECT tafsir_id, p, md5(substr(text, p + 1, 150)) AS h FROM (SELECT tafsir_id, text, unnest(range(0, n - 149)) AS p FROM t WHERE n >= 150)),
+g AS (SELECT h FROM w GROUP BY h HAVING min(tafsir_id) < max(tafsir_id)),
+s AS (SELECT DISTINCT tafsir_id, p, h FROM w JOIN g USING (h))
+"""
+SQL: dict[str, str] = {
+    "p1_found": _WINDOWS + "SELECT DISTINCT a.tafsir_id AS id_a, b.tafsir_id AS id_b FROM s a JOIN s b ON a.h = b.h AND a.tafsir_id < b.tafsir_id",
+    "p1_shares": _WINDOWS
+    + """, e AS (SELECT tafsir_id, p, max(p + 150) OVER (PARTITION BY tafsir_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+c AS (SELECT tafsir_id, sum(150 - greatest(0, coalesce(reach, 0) - p)) AS shared, count(*) FILTER (reach IS NULL OR p > reach) AS runs FROM e GROUP BY tafsir_id)
+SELECT tafsir_id, n AS n_chars, coalesce(shared, 0)::BIGINT AS shared_chars, coalesce(runs, 0) AS n_runs FROM t LEFT JOIN c USING (tafsir_id)""",
+}
