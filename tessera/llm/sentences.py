@@ -88,8 +88,8 @@ def closing_score(text: str, low: int, high: int, start: int, mark: str, closers
         return -SURE
     following = _opening(text, after, high)
     if mark == ".":
-        if not gap and not closers:
-            return -SURE
+        if not closers and not any(c.isspace() for c in gap):
+            return -SURE  # inside a number, a name or an abbreviation, invisible characters or not
         token = _before(text, low, start)
         if not token.isascii():
             token = canonical(token)

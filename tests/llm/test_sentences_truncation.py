@@ -22,6 +22,7 @@ CASES = {
     "यह है। डॉ. राम पृ. 5 पर! हाँ": ["यह है।", "डॉ. राम पृ. 5 पर!", "हाँ"],
     "End one. Broken off he…": ["End one.", "Broken off he…"],
     "Whole. …": ["Whole. …"],
+    "Pi is 3.\u200b14 now.\u200b Dr.\u00a0Smith D\u200br.\u200b Jones.\u2060": ["Pi is 3.\u200b14 now.", "Dr.\u00a0Smith D\u200br.\u200b Jones.\u2060"],
     'He wrote, "One here. Two here." Then.': ['He wrote, "One here. Two here."', "Then."],
     "": [], "  <br> \n": [],
 }
