@@ -12,9 +12,9 @@ What no character model can know is taken from structure first: lines that are c
 headings, signature lines and list items are complete; a quotation or bracket that stays open, an abbreviation, a
 broken character and a comma are not.
 
-The counts are combined per context on the map side and by Spark; of the contexts that share one of 2^22 cells the
-most frequent stays, so the table that reaches the driver and goes out as a broadcast has a fixed bound. A context
-that lost its cell is judged by its shorter one.
+The counts are combined per context on the map side and by Spark and stay a table of the shared folder, whatever its
+size. The different final contexts of the texts that the model decides are joined with it, and their counts with the
+texts. Only the counts of single characters go out as a broadcast.
 """
 
 from __future__ import annotations
@@ -35,7 +35,6 @@ from .sentences import BREAK, CLOSING, HIDDEN, NEVER, THAI, WORDS_OF_ONE, _befor
 
 ORDERS = (1, 2, 3, 4, 5)
 PAD = max(ORDERS)
-CELLS = 1 << 22
 LEAST = 10  # a context seen less often stays with its shorter one
 PULL = 20.0  # weight of the shorter context's probability
 FEW = 10  # ends below which a language takes the threshold of all together
@@ -203,11 +202,9 @@ ANY = "*"  # all languages together, for one that the texts say nothing of
 
 
 class Model:
-    """Probabilities that a unit ends after a context, with one threshold for each language."""
+    """Counts of single characters: the end probability after one, and one threshold for each language."""
 
-    def __init__(self, cells: tuple[np.ndarray, np.ndarray, np.ndarray], singles: dict[tuple[str, int], tuple[int, int]]):
-        order = np.argsort(cells[0])
-        self.keys, self.seen, self.ends = (c[order] for c in cells)
+    def __init__(self, singles: dict[tuple[str, int], tuple[int, int]]):
         pooled: dict[tuple[str, int], tuple[int, int]] = {}
         for (_, c), (n, e) in singles.items():
             have = pooled.get((ANY, c), (0, 0))
@@ -222,62 +219,64 @@ class Model:
         self.prior = (total[ANY][1] + 0.5) / (total[ANY][0] + 1)
         self.threshold = {lang: PART * m / e for lang, (_, e, m) in total.items() if e >= FEW}
 
-    def log_odds(self, langs: list[str], texts: list[str]) -> np.ndarray:
-        """For the end of every text, the log-odds of end against continuation above its language's threshold; negative is cut."""
-        if not texts:
-            return np.empty(0)
-        n = len(texts)
-        codes = code_points([("\0" * PAD + t[-PAD:])[-PAD:] for t in texts])[0]
-        last = codes[PAD - 1 :: PAD]
-        p = np.full(n, self.prior)
+    def log_odds(self, langs: list[str], tails: list[str], longer: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For every final context, the log-odds of end against continuation above its language's threshold; negative is cut.
+
+        `longer` holds for each order above 1 how often the context was seen (0: not known) and how often as an end.
+        """
+        p = np.full(len(tails), self.prior)
         for any_language in (True, False):  # one character: in all languages, then in this one
-            got = np.array([self.singles.get((ANY if any_language else g, c), (0, 0)) for g, c in zip(langs, last.tolist())], float)
+            got = np.array([self.singles.get((ANY if any_language else g, ord(t[-1])), (0, 0)) for g, t in zip(langs, tails)], float).reshape(-1, 2)
             p = (got[:, 1] + PULL * p) / (got[:, 0] + PULL)
-        names = {g: np.uint64(_language_key(g)) for g in set(langs)}
-        language = np.array([names[g] for g in langs], np.uint64)
-        going = np.array([t != "" and not plain(t[-1]) for t in texts]) & (len(self.keys) > 0)
-        for k in ORDERS[1:]:
-            here = np.flatnonzero(going)
-            if not len(here):
-                break
-            key = _keys(rolling(codes, k)[here * PAD + PAD - k], language[here], k)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
-            going[here[~known]] = False
-            here, at = here[known], at[known]
-            p[here] = (self.ends[at] + PULL * p[here]) / (self.seen[at] + PULL)
+        for n, e in longer:
+            p = np.where(n > 0, (e + PULL * p) / (n + PULL), p)
         t = np.array([self.threshold.get(g, self.threshold.get(ANY, PART)) for g in langs])
         return np.log(p / (1 - p + 1e-12) + 1e-12) - np.log(t / (1 - t))
 
 
-def trained(texts: DataFrame) -> Model:
+def counted(texts: DataFrame) -> DataFrame:
+    """(lang, key, n, n_end): rows of order 1 by language and character; rows of longer contexts by hash, without a language."""
     counts = spread(texts.select("lang", "text")).mapInArrow(_count, "lang string, key long, n long, n_end long")
-    counts = materialize(counts.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
-    kept = (
-        counts.where(f"lang is null and n >= {LEAST}").groupBy(F.expr(f"key & {CELLS - 1}").alias("cell"))
-        .agg(F.max(F.struct("n", "key", "n_end")).alias("x")).select("x.key", "x.n", "x.n_end")
-    )
-    cells = kept.toArrow()
+    return materialize(counts.groupBy("lang", "key").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")))
+
+
+def trained(counts: DataFrame) -> Model:
     singles = counts.where("lang is not null").toArrow().to_pydict()
-    return Model(
-        tuple(cells[c].to_numpy() for c in ("key", "n", "n_end")),
-        {(lang, key): (n, e) for lang, key, n, e in zip(singles["lang"], singles["key"], singles["n"], singles["n_end"])},
-    )
+    return Model({(lang, key): (n, e) for lang, key, n, e in zip(singles["lang"], singles["key"], singles["n"], singles["n_end"])})
+
+
+def _structure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that structure decides with `truncated`, the others with their language and the last characters."""
+    for batch in batches:
+        langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        found = [structure(t) for t in texts]
+        cut = [None if kind == "ask" else kind == "cut" for kind, _ in found]
+        group = [group_of(g, t) if kind == "ask" else None for (kind, _), g, t in zip(found, langs, texts)]
+        tail = [("\0" * PAD + rest[-PAD:])[-PAD:] if kind == "ask" else None for kind, rest in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.bool_()), pa.array(group, pa.string()), pa.array(tail, pa.string())], names=["id", "truncated", "lang", "tail"])
+
+
+def _final_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of each final context, one row for each order above 1."""
+    for batch in batches:
+        asked = [(g, t) for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not plain(t[-1])]
+        if not asked:
+            continue
+        langs, tails = zip(*asked)
+        codes, at = code_points(tails)
+        language = np.array([_language_key(g) for g in langs], np.uint64)
+        for k in ORDERS[1:]:
+            key = _keys(rolling(codes, k)[at[1:] - k], language, k)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(tails, pa.string()), pa.array([k] * len(key), pa.int32()), pa.array(key)], names=["lang", "tail", "k", "key"])
 
 
 def _judge(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            found = [structure(t) for t in batch.column(2).to_pylist()]
-            ask = [i for i, (kind, _) in enumerate(found) if kind == "ask"]
-            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            odds: list[float | None] = [None] * len(found)
-            for i, o in zip(ask, model.log_odds([group_of(langs[i], texts[i]) for i in ask], [found[i][1] for i in ask]).tolist()):
-                odds[i] = o
-            cut = [kind == "cut" or o is not None and o < 0 for (kind, _), o in zip(found, odds)]
-            why = ["structure" if o is None else "model" for o in odds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.bool_()), pa.array(why, pa.string()), pa.array(odds, pa.float64())], names=["id", "truncated", "decided_by", "log_odds"])
+            many = [batch.column(i).fill_null(0).to_numpy() for i in range(3, batch.num_columns)]
+            odds = model.log_odds(batch.column(1).to_pylist(), batch.column(2).to_pylist(), list(zip(many[::2], many[1::2])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odds < 0), pa.array(["model"] * len(odds), pa.string()), pa.array(odds)], names=["id", "truncated", "decided_by", "log_odds"])
 
     return run
 
@@ -288,9 +287,18 @@ def judged(texts: DataFrame) -> DataFrame:
     Null texts give no row; blank and markup-only texts are complete; a null language is guessed by script.
     """
     usable = texts.where("text is not null").select("id", "lang", "text")
-    model = texts.sparkSession.sparkContext.broadcast(trained(usable))
+    counts = counted(usable)
+    model = texts.sparkSession.sparkContext.broadcast(trained(counts))
     kind = texts.schema["id"].dataType.simpleString()
-    return spread(usable).mapInArrow(_judge(model), f"id {kind}, truncated boolean, decided_by string, log_odds double")
+    found = materialize(spread(usable).mapInArrow(_structure, f"id {kind}, truncated boolean, lang string, tail string"))
+    asked = found.where("tail is not null").select("id", "lang", "tail")
+    keys = asked.select("lang", "tail").distinct().mapInArrow(_final_keys, "lang string, tail string, k int, key long")
+    known = counts.where(f"lang is null and n >= {LEAST}").select("key", "n", "n_end")
+    longer = [F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_{k}") for k in ORDERS[1:] for c in ("n", "n_end")]
+    contexts = keys.join(known, "key").groupBy("lang", "tail").agg(*longer)
+    by_model = asked.join(contexts, ["lang", "tail"], "left").select("id", "lang", "tail", *contexts.columns[2:])
+    by_structure = found.where("tail is null").select("id", "truncated", F.lit("structure").alias("decided_by"), F.lit(None).cast("double").alias("log_odds"))
+    return by_structure.unionAll(by_model.mapInArrow(_judge(model), f"id {kind}, truncated boolean, decided_by string, log_odds double"))
 
 
 def _tafsirs(spark, folder: str) -> DataFrame:

@@ -91,3 +91,24 @@ def test_truncation_against_held_out_cases(spark):
 def test_truncation_of_nothing(spark):
     df = spark.createDataFrame([], "id long, lang string, text string")
     assert truncation.judged(df).count() == 0
+
+
+def test_no_final_context_is_lost(spark):
+    """A rare final context counts, though one that is more frequent agrees with it in 22 bits of the hash."""
+    import itertools
+
+    import numpy as np
+
+    letters = [chr(c) for c in range(0x0E01, 0x0E2F)]
+    words = ["".join(x) for x in itertools.product(letters, repeat=3)]
+    codes, at = truncation.code_points(words)
+    cells = truncation._keys(truncation.rolling(codes, 3)[at[:-1]], np.uint64(truncation._language_key("th")), 3) & ((1 << 22) - 1)
+    first: dict[int, str] = {}
+    pairs = ((first.setdefault(c, w), w) for w, c in zip(words, cells.tolist()))
+    often, rare = next((a, b) for a, b in pairs if len(set(a + b)) == 6)
+    fill, other, last = [c for c in letters if c not in often + rare][:3]
+    line = f"{fill}{often}{fill}{other}{rare[1:]}{fill}{last} "  # what ends in `rare` goes on, if only two characters are known
+    texts = [(i, "th", line * 20 + (f"{fill}{rare} " if i < 40 else "") + line + f"{fill}{last}") for i in range(200)]
+    texts += [(1000, "th", f"{fill}{last} {fill}{rare}"), (1001, "th", f"{fill}{last} {fill}{other}{rare[1:]}")]
+    got = {r.id: r.truncated for r in truncation.judged(spark.createDataFrame(texts, "id long, lang string, text string")).collect()}
+    assert (got[1000], got[1001]) == (False, True)
