@@ -1,14 +1,16 @@
 """Problem 9: keyword-stuffed pages, link lists and tag lists.
 
 Method: phrase shingles and list density. Every page's words are put down as words of sentences, words of lists
-(links, tags, lines without an end mark) or words of phrases that the page keeps repeating. The list words' shingles
-of five words are exploded and their distinct hosts counted over all documents. A page is flagged when at least half
-of its words stand in lists or repeated phrases, or when somewhat fewer do but most of its list phrases stand on other
-hosts too, so that the page is stitched from phrases replicated elsewhere.
-
-Only the shingles of lists are exploded: sentences can't make a page spam here, and it keeps the shuffle small. They
-are pre-aggregated on the map side to the least and greatest host, so a phrase that a third of all pages share costs
-one row per task.
+(links, tags, lines without an end mark) or words of phrases that the page keeps repeating. The shingles of five words
+of every sentence and line, and those of the list words in their order, are exploded and their hosts and different
+texts counted over all documents. A page is flagged when
+- at least half of its words stand in lists or repeated phrases, or
+- somewhat fewer do, but most of its list phrases stand on other hosts too, or
+- nearly all its phrases, in lists or not, stand on other hosts and in two other texts at least: it is stitched.
+
+Pages with one text count as one, so that a copy of an honest page, all of whose phrases stand on other hosts, is not
+taken for a stitched one. Phrases are pre-aggregated on the map side, so one that a third of all pages share costs one
+row per task. A page's phrases go to the join only where a bitmap of fixed size doesn't rule out that they are replicated.
 """
 
 from __future__ import annotations
@@ -31,6 +33,12 @@ SHINGLE = 5
 MOST = 0.5  # of the words in lists or repeated phrases: flagged
 MANY = 0.35  # flagged where also most list phrases are replicated
 REPLICATED = 0.5
+STITCHED = 0.8  # of all phrases; an honest page around one passage that others quote too reaches 0.75
+TEXTS = 3  # different texts with a phrase, the page's own among them, for a stitched page; a text and its revision are two
+PHRASES = 20  # fewer don't make a page stitched: terse notes may be all formula
+SHORT = 3  # words of a sentence that counts as one phrase
+LISTED_KEY = np.int64(0x5BF03635A5A5C3D1)  # tells list phrases from the same words in a sentence
+SLOTS = 1 << 28  # bits, for phrases that are replicated
 REPEATS = 3  # a pair of words that occurs so often in one page counts as repeated ...
 REPEATED_LEAST = 0.2  # ... where such pairs make up so much of the page; fewer are refrains and plain language
 
@@ -55,26 +63,35 @@ def spaced(word: str) -> list[str]:
     return [word] if weight(word) == 1.0 else [word[i : i + 2] for i in range(0, len(word), 2)]
 
 
-def _hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
+class Memo(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def shingles(pages: list[list[list[str]]], memo: Memo, least: int = SHINGLE) -> list[np.ndarray]:
+    """For each page, the distinct hashes of all runs of five words in each unit; a unit of fewer, but at least `least`, is one run."""
     if len(memo) > 500_000:
         memo.clear()
-    for w in words:
-        if w not in memo:
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-    return np.array([memo[w] for w in words], np.uint64)
-
-
-def shingles(words: list[str], memo: dict[str, int]) -> list[int]:
-    """Distinct hashes of all runs of five words."""
-    if len(words) < SHINGLE:
-        return []
-    h = _hashes(words, memo)
-    n = len(h) - SHINGLE + 1
+    words = [w for units_ in pages for unit in units_ for w in unit]
+    size = np.array([len(unit) for units_ in pages for unit in units_], np.int64)
+    end = np.repeat(np.cumsum(size), size)
+    left, of = end - np.arange(len(words)), np.repeat(size, size)
+    h = np.zeros(len(words) + SHINGLE, np.uint64)
+    h[: len(words)] = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    run, out = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
+    use = left >= SHINGLE
     with np.errstate(over="ignore"):
-        out = np.zeros(n, np.uint64)
-        for j in range(SHINGLE):
-            out = out * BASE + h[j : j + n]
-    return np.unique(mixed(out).view(np.int64)).tolist()
+        for width in range(1, SHINGLE + 1):
+            run = run * BASE + h[width - 1 : width - 1 + len(words)]
+            if least <= width < SHINGLE:
+                whole = (of == width) & (left == width)
+                out[whole], use = run[whole], use | whole
+        out = mixed(np.where(left >= SHINGLE, run, out)).view(np.int64)
+    ends = np.cumsum([sum(map(len, units_)) for units_ in pages]).tolist()
+    return [np.unique(out[a:b][use[a:b]]) for a, b in zip([0, *ends], ends)]
 
 
 def _wrapped(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
@@ -85,9 +102,15 @@ def _wrapped(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
 
 def page(text: str) -> tuple[float, float, float, list[str]]:
     """(words, words in lists, words in lists or repeated phrases, the list words in order)."""
+    return _page(text)[:4]
+
+
+def _page(text: str) -> tuple[float, float, float, list[str], list[list[str]]]:
+    """As `page`, and the words of each sentence and line."""
     links = [(m.start(), m.end()) for m in LINK.finditer(text)]
     words: list[str] = []
     listed: list[bool] = []
+    each: list[list[str]] = []
     at = 0
     spans = units(text)
     found_in = [[(m.start(), m[0].lower()) for m in WORD.finditer(text, s, e)] for s, e in spans]
@@ -98,63 +121,120 @@ def page(text: str) -> tuple[float, float, float, list[str]]:
         if not sentence[i] and sentence[i + 1] and chain < WRAPPED and _wrapped(text, spans[i], spans[i + 1]):
             sentence[i], chain = True, chain + 1
     for found, whole in zip(found_in, sentence):
+        begin = len(words)
         for p, w in found:
             while at < len(links) and links[at][1] <= p:
                 at += 1
             in_list = not whole or at < len(links) and links[at][0] <= p
+            if w[0] < "฀":
+                words.append(w)
+                listed.append(in_list)
+                continue
             for part in spaced(w):
                 words.append(part)
                 listed.append(in_list)
+        each.append(words[begin:])
     n = float(len(words))
     pairs = list(zip(words, words[1:]))
     count = Counter(pairs)
     repeated = [False] * len(words)
-    for i, p in enumerate(pairs):
-        if count[p] >= REPEATS:
+    often = {p for p, k in count.items() if k >= REPEATS}
+    for i, p in enumerate(pairs) if often else ():
+        if p in often:
             repeated[i] = repeated[i + 1] = True
     if n and sum(repeated) < REPEATED_LEAST * n:
         repeated = [False] * len(words)
     bad = sum(a or b for a, b in zip(listed, repeated))
-    return n, float(sum(listed)), float(bad), [w for w, x in zip(words, listed) if x]
+    return n, float(sum(listed)), float(bad), [w for w, x in zip(words, listed) if x], each
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(x) for x in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo: dict[str, int] = {}
+    memo = Memo()
     for batch, texts in pieces(batches, "text"):
-        rows = [page(t) for t in texts]
+        rows = [_page(t) for t in texts]
+        phrases = shingles([r[4] for r in rows], memo, SHORT)
+        listed = [x ^ LISTED_KEY for x in shingles([[r[3]] for r in rows], memo)]
+        asked = [x if MANY * r[0] <= r[2] < MOST * r[0] else x[:0] for r, x in zip(rows, listed)]
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0),
-                batch.column(1),
+                *(batch.column(i) for i in range(3)),
                 *(pa.array([r[i] for r in rows], pa.float64()) for i in range(3)),
-                pa.array([shingles(r[3], memo) for r in rows], pa.list_(pa.int64())),
+                _lists(phrases),
+                _lists(listed),
+                _lists(asked),
             ],
-            names=["doc_id", "host", "n_words", "n_listed", "n_bad", "phrases"],
+            names=["digest", "low", "high", "n_words", "n_listed", "n_bad", "phrases", "others", "asked"],
         )
 
 
+def _possible(shared):
+    """The phrases of each page (`listed`: of its list words, where they are asked for) that may be replicated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: np.ndarray = shared.value
+        for batch in batches:
+            for i, listed in ((1, False), (2, True)):
+                column = batch.column(i)
+                phrase = column.flatten().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+                slot = phrase & (SLOTS - 1)
+                keep = (words[slot >> 6] >> (slot & 63)) & 1 == 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(owner[keep])), pa.array(np.full(int(keep.sum()), listed)), pa.array(phrase[keep])], names=["digest", "listed", "phrase"]
+                )
+
+    return run
+
+
+def _bitmap(phrases: DataFrame) -> np.ndarray:
+    """SLOTS bits in 64-bit words, set where a phrase falls; put together by Spark, so the driver gets SLOTS / 64 rows at most."""
+    slot = F.col("phrase").bitwiseAND(F.lit(SLOTS - 1))
+    rows = phrases.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(phrase & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(SLOTS >> 6, np.int64)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
+    return words
+
+
 def scored(documents: DataFrame) -> DataFrame:
-    """`documents(doc_id, source STRING, text STRING)` to (doc_id, n_words, list_share, bad_share, replicated_share, spam).
+    """`documents(doc_id, source STRING, text STRING)` to (doc_id, n_words, list_share, bad_share, replicated_share, stitched_share, list_replicated_share, spam).
 
     The source is the host; a null source is a host of its own. Null texts give no row; texts without a word are not
-    spam. A doc_id that occurs twice is judged row by row, its phrases counted together.
+    spam. `replicated_share` is that of the phrases on other hosts, `stitched_share` that of those also in other texts,
+    both null without a phrase; `list_replicated_share` is null unless list density leaves the page open.
     """
     host = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("host")
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    digest = F.unhex(F.md5("text")).alias("digest")
+    usable = documents.where("text is not null")
+    texts = usable.select(host, "text").groupBy("text").agg(F.min("host").alias("low"), F.max("host").alias("high"))
     pages = materialize(
-        spread(documents.where("text is not null").select("doc_id", host, "text"))
-        .mapInArrow(_pages, f"doc_id {kind}, host long, n_words double, n_listed double, n_bad double, phrases array<long>")
+        spread(texts.select(digest, "low", "high", "text"))
+        .mapInArrow(_pages, "digest binary, low long, high long, n_words double, n_listed double, n_bad double, phrases array<long>, others array<long>, asked array<long>")
     )
-    each = pages.select("doc_id", "host", F.explode("phrases").alias("phrase"))
-    wide = each.groupBy("phrase").agg((F.min("host") != F.max("host")).alias("elsewhere"))
-    asked = pages.where(f"n_bad < {MOST} * n_words and n_bad >= {MANY} * n_words").select("doc_id", F.explode("phrases").alias("phrase"))
-    replicated = asked.join(wide, "phrase").groupBy("doc_id").agg(F.avg(F.col("elsewhere").cast("int")).alias("replicated_share"))
-    share = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(0.0)
-    out = pages.join(replicated, "doc_id", "left").select(
-        "doc_id", F.col("n_words").cast("long").alias("n_words"), share("n_listed").alias("list_share"), share("n_bad").alias("bad_share"), "replicated_share"
+    each = pages.select("low", "high", F.explode(F.concat("phrases", "others")).alias("phrase"))
+    counted = each.groupBy("phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n"))
+    wide = materialize(counted.where("low != high").select("phrase", (F.col("n") >= TEXTS).alias("stitched")))
+    bits = documents.sparkSession.sparkContext.broadcast(_bitmap(wide))
+    possible = pages.select("digest", "phrases", "asked").mapInArrow(_possible(bits), "digest binary, listed boolean, phrase long")
+    hits = possible.join(wide, "phrase").groupBy("digest").agg(
+        F.count_if(~F.col("listed")).alias("n_replicated"), F.count_if(~F.col("listed") & F.col("stitched")).alias("n_stitched"), F.count_if("listed").alias("n_list_replicated")
     )
-    spam = (F.col("bad_share") >= MOST) | (F.col("bad_share") >= MANY) & (F.coalesce("replicated_share", F.lit(0.0)) >= REPLICATED)
-    return out.withColumn("spam", spam & (F.col("n_words") > 0))
+    share = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(0.0)
+    of = lambda c, all_of: F.when(F.size(all_of) > 0, F.coalesce(F.col(c), F.lit(0)) / F.size(all_of))
+    judged = pages.join(hits, "digest", "left").select(
+        "digest", F.col("n_words").cast("long").alias("n_words"), share("n_listed").alias("list_share"), share("n_bad").alias("bad_share"),
+        of("n_replicated", "phrases").alias("replicated_share"), of("n_stitched", "phrases").alias("stitched_share"), of("n_list_replicated", "asked").alias("list_replicated_share"),
+        F.size("phrases").alias("n_phrases"),
+    )
+    between = (F.col("bad_share") >= MANY) & (F.coalesce("list_replicated_share", F.lit(0.0)) >= REPLICATED)
+    stitched = (F.col("n_phrases") >= PHRASES) & (F.coalesce("stitched_share", F.lit(0.0)) >= STITCHED)
+    spam = ((F.col("bad_share") >= MOST) | between | stitched) & (F.col("n_words") > 0)
+    return usable.select("doc_id", digest).join(judged.withColumn("spam", spam).drop("n_phrases"), "digest").drop("digest")
 
 
 def p9_found(spark, folder: str) -> DataFrame:

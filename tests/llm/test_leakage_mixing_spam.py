@@ -107,3 +107,21 @@ def test_replicated_phrases_decide_between(spark):
     for sources, want in ((["a", "b"], True), (["a", "a"], False), ([None, None], False), ([None, ""], True)):
         df = spark.createDataFrame([(i, s, half) for i, s in enumerate(sources)], "doc_id long, source string, text string")
         assert {r.spam for r in spam.scored(df).collect()} == {want}
+
+
+def test_pages_stitched_from_replicated_sentences(spark):
+    """Sentences, each once in a page, but on many hosts; copies and one revision of an honest page are no cases."""
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefghijklmnoprstuvw", k=7)) for _ in range(3000)]
+    line = lambda k: " ".join(r.sample(words, k)).capitalize() + "."
+    pool = [line(r.choice([4, 7, 11])) for _ in range(40)]
+    stitched = [(i, f"h{i % 8}", " ".join(r.sample(pool, 15))) for i in range(40)]
+    honest = " ".join(line(9) for _ in range(15))
+    rows = stitched + [(100 + i, f"h{i}", honest) for i in range(8)] + [(110, "h9", honest + " " + line(9))] + [(200, "h1", " ".join(line(9) for _ in range(15)))]
+    rows += [(300 + i, f"h{i}", pool[0]) for i in range(3)]  # a terse note
+    assert max(spam.page(t)[2] / spam.page(t)[0] for _, _, t in rows if len(t) > 300) < 0.1
+    df = lambda x: spark.createDataFrame(x, "doc_id long, source string, text string")
+    got = {x.doc_id: x for x in spam.scored(df(rows)).collect()}
+    assert {i for i, x in got.items() if x.spam} == set(range(40)) and len(got) == len(rows)
+    assert got[100].replicated_share == 1.0 and got[100].stitched_share == 0.0 and got[200].replicated_share == 0.0
+    assert not any(x.spam for x in spam.scored(df([(i, "h", t) for i, _, t in stitched])).collect())
