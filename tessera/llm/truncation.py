@@ -2,8 +2,7 @@
 
 Method: a backward character n-gram model. For every position of all texts (the last unit of each left out, since it
 may be the cut one) the preceding characters are counted, per language, once as context and once as context of a
-sentence's end (its end mark, before closing quotes). Contexts of 2 to 5 characters are kept behind end marks and in
-scripts without them; behind any other letter one character tells enough. The final context of a text gets the interpolated probability that a unit ends there rather than goes
+sentence's end (its end mark, before closing quotes). Contexts have 1 to 5 characters. The final context of a text gets the interpolated probability that a unit ends there rather than goes
 on, and its log-odds are held against a threshold of its language: a tenth of the mean probability that the
 language's own end characters have, so a language without end marks (Thai) gets a threshold that only a broken word
 falls below.
@@ -20,7 +19,6 @@ texts. Only the counts of single characters go out as a broadcast.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +33,7 @@ from .sentences import BREAK, CLOSING, HIDDEN, NEVER, THAI, WORDS_OF_ONE, _befor
 
 ORDERS = (1, 2, 3, 4, 5)
 PAD = max(ORDERS)
+HELD = 4_000_000  # contexts in a task's memory; more are handed on in parts
 LEAST = 10  # a context seen less often stays with its shorter one
 PULL = 20.0  # weight of the shorter context's probability
 FEW = 10  # ends below which a language takes the threshold of all together
@@ -119,11 +118,6 @@ def structure(text: str) -> tuple[str, str]:
     return "ask", rest[: len(rest) - len(end[2])] if end else rest
 
 
-def plain(c: str) -> bool:
-    """Whether a context that ends with `c` needs no more than that character: a letter, digit or mark of a script with end marks."""
-    return not THAI.match(c) and (c.isalnum() or unicodedata.category(c)[0] == "M")
-
-
 def _language_key(name: str) -> int:
     h = 1469598103934665603
     for b in name.encode():
@@ -133,17 +127,23 @@ def _language_key(name: str) -> int:
 
 def _keys(hashes: np.ndarray, language: np.ndarray | np.uint64, order: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mixed(hashes ^ mixed(np.atleast_1d(language) + np.uint64(order))).view(np.int64)
+        return (mixed(hashes ^ mixed(np.atleast_1d(language) + np.uint64(order))) & ~np.uint64(1)).view(np.int64)  # the last bit is for `_count`
 
 
-def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    if len(parts) < 2:
+        return parts
     key, index = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return (key, *(np.bincount(index, weights=np.concatenate([p[i] for p in parts]), minlength=len(key)).astype(np.int64) for i in (1, 2)))
+    return [(key, np.bincount(index, weights=np.concatenate([p[1] for p in parts]), minlength=len(key)).astype(np.int64))]
+
+
+def _rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"lang": pa.nulls(len(key), pa.string()), "key": pa.array(key & ~np.int64(1)), "n": pa.array(n), "n_end": pa.array(n * (key & 1))})
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Context counts of one task: by hash for orders above 1, and rows (language, character) of order 1."""
-    parts: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64),) * 3]
+    parts: list[tuple[np.ndarray, np.ndarray]] = []  # keys whose last bit says whether it was an end, and how often
     single: dict[tuple[str, str], list[int]] = {}
     for batch, texts in pieces(batches, "text", 500_000):
         names = [group_of(n, t) for n, t in zip(batch.column(0).to_pylist(), texts)]
@@ -173,12 +173,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.array([_language_key(n) for n in names], np.uint64)
         text = np.searchsorted(at, where - 1, "right") - 1
         language, stops = keys[text], end[where]
-        chars, index = np.unique(codes, return_inverse=True)
-        longer = ~np.array([plain(chr(c)) for c in chars.tolist()])[index][where - 1]
-        for k in ORDERS[1:]:
-            key = _keys(rolling(codes, k)[where[longer] - k], language[longer], k)
-            parts.append((key, np.ones(len(key), np.int64), stops[longer].astype(np.int64)))
-        parts = [_merge(parts)]
+        found_keys = [_keys(rolling(codes, k)[where - k], language, k) | stops for k in ORDERS[1:]]
+        parts.append(np.unique(np.concatenate(found_keys), return_counts=True))
+        if sum(len(p[0]) for p in parts) > HELD:
+            parts = _merge(parts)
+            if len(parts[0][0]) > HELD // 2:
+                yield _rows(*parts.pop())
         which: dict[str, int] = {}
         number = np.array([which.setdefault(n, len(which)) for n in names])[text]
         label = list(which)
@@ -187,13 +187,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = single.setdefault((label[p >> 32], chr(p & 0xFFFFFFFF)), [0, 0])
             row[0] += n
             row[1] += int(e)
-    key, n, n_end = _merge(parts)
+    for key, n in _merge(parts):
+        yield _rows(key, n)
     yield pa.RecordBatch.from_pydict(
         {
-            "lang": pa.array([None] * len(key) + [x for x, _ in single], pa.string()),
-            "key": pa.array([*key.tolist(), *(ord(c) for _, c in single)], pa.int64()),
-            "n": pa.array([*n.tolist(), *(r[0] for r in single.values())], pa.int64()),
-            "n_end": pa.array([*n_end.tolist(), *(r[1] for r in single.values())], pa.int64()),
+            "lang": pa.array([x for x, _ in single], pa.string()),
+            "key": pa.array([ord(c) for _, c in single], pa.int64()),
+            "n": pa.array([r[0] for r in single.values()], pa.int64()),
+            "n_end": pa.array([r[1] for r in single.values()], pa.int64()),
         }
     )
 
@@ -259,10 +260,7 @@ def _structure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _final_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The keys of each final context, one row for each order above 1."""
     for batch in batches:
-        asked = [(g, t) for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not plain(t[-1])]
-        if not asked:
-            continue
-        langs, tails = zip(*asked)
+        langs, tails = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         codes, at = code_points(tails)
         language = np.array([_language_key(g) for g in langs], np.uint64)
         for k in ORDERS[1:]:

@@ -112,3 +112,14 @@ def test_no_final_context_is_lost(spark):
     texts += [(1000, "th", f"{fill}{last} {fill}{rare}"), (1001, "th", f"{fill}{last} {fill}{other}{rare[1:]}")]
     got = {r.id: r.truncated for r in truncation.judged(spark.createDataFrame(texts, "id long, lang string, text string")).collect()}
     assert (got[1000], got[1001]) == (False, True)
+
+
+def test_letter_final_contexts_count_longer_than_one_character(spark):
+    """Contexts that end in a letter are counted in all orders."""
+    texts = [(i, "xx", 'Abc said "ngo kza mo!" ngo naza zan. Az nza. Ngo zan.' * 3) for i in range(30)]
+    counts = {(r.lang, r.key): r for r in truncation.counted(spark.createDataFrame(texts, "id long, lang string, text string")).collect()}
+    codes, at = truncation.code_points(["ngo", "zan"])
+    import numpy as np
+
+    keys = truncation._keys(truncation.rolling(codes, 3)[at[:-1]], np.uint64(truncation._language_key("xx")), 3).tolist()
+    assert all(counts[None, k].n >= 30 for k in keys)
