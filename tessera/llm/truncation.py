@@ -58,8 +58,9 @@ def group_of(lang: str | None, text: str) -> str:
     """The language a text is counted under: its own, or where that is unknown one by script."""
     if lang:
         return lang
+    codes = code_points([text])[0]
     for name, low, high in (("th", "\u0e00", "\u0e7f"), ("zh", "一", "鿿"), ("hi", "ऀ", "ॿ"), ("ar", "\u0600", "ۿ")):
-        if sum(low <= c <= high for c in text[:200]) * 3 > len(text[:200]):
+        if np.count_nonzero((codes >= ord(low)) & (codes <= ord(high))) * 3 > len(codes):
             return "ur" if name == "ar" and ("ے" in text or "ہ" in text) else name
     return "latin"
 

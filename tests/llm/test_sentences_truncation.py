@@ -123,3 +123,8 @@ def test_letter_final_contexts_count_longer_than_one_character(spark):
 
     keys = truncation._keys(truncation.rolling(codes, 3)[at[:-1]], np.uint64(truncation._language_key("xx")), 3).tolist()
     assert all(counts[None, k].n >= 30 for k in keys)
+
+
+def test_unknown_language_is_that_of_the_whole_text():
+    assert truncation.group_of(None, "«" + "كتاب " * 40 + "» " + "ผู้เขียนตลาด " * 60) == "th"
+    assert truncation.group_of("", "ผู้เขียน " * 30 + "word " * 900) == "latin" and truncation.group_of(None, "یہ کتاب ہے") == "ur" and truncation.group_of(None, "") == "latin"
