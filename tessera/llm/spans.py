@@ -95,7 +95,7 @@ PACKED = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("start", pa.int32(
 FOUND = pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
 
-def count_bucket(key: np.ndarray, id_: np.ndarray, start: np.ndarray, before: np.ndarray, packed: list[str], k: int):
+def count_bucket(key: np.ndarray, id_: np.ndarray, start: np.ndarray, before: np.ndarray, packed: list[str], k: int, with_pairs: bool = True):
     """Pairs of ids and shared runs (id, start, end) of whole buckets, by sorting their windows.
 
     A window that stands in two ids is shared. It gives a pair only where it is the first of a common span: the
@@ -136,7 +136,7 @@ def count_bucket(key: np.ndarray, id_: np.ndarray, start: np.ndarray, before: np
     prev = np.where(offset > 0, codes[np.maximum(at[row] + offset - 1, 0)].astype(np.int64), before[row])
     low, high = np.minimum.reduceat(prev, head), np.maximum.reduceat(prev, head)
     pairs: set[tuple[int, int]] = set()
-    for g in np.flatnonzero((ids[head] != ids[tail]) & ((low != high) | (low == -1))).tolist():
+    for g in np.flatnonzero((ids[head] != ids[tail]) & ((low != high) | (low == -1))).tolist() if with_pairs else ():
         lines = set(zip(ids[head[g] : tail[g] + 1].tolist(), prev[head[g] : tail[g] + 1].tolist()))
         for (a, p), (b, q) in combinations(sorted(lines), 2):
             if a != b and (p != q or p == -1):
@@ -153,7 +153,7 @@ def count_bucket(key: np.ndarray, id_: np.ndarray, start: np.ndarray, before: np
     return pairs, runs
 
 
-def _count(k: int, chars: int = 400_000):
+def _count(k: int, with_pairs: bool = True, chars: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = [[], [], [], [], []]
         size, last = 0, None
@@ -162,7 +162,7 @@ def _count(k: int, chars: int = 400_000):
             key, id_, start, before, packed = (h[:n] for h in held)
             for h in held:
                 del h[:n]
-            pairs, (rid, rs, re_) = count_bucket(np.array(key, np.int64), np.array(id_, np.int64), np.array(start, np.int64), np.array(before, np.int64), packed, k)
+            pairs, (rid, rs, re_) = count_bucket(np.array(key, np.int64), np.array(id_, np.int64), np.array(start, np.int64), np.array(before, np.int64), packed, k, with_pairs)
             p = np.array(sorted(pairs), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays(
                 [
@@ -189,11 +189,11 @@ def _count(k: int, chars: int = 400_000):
     return run
 
 
-def shared_spans(texts: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def shared_spans(texts: DataFrame, k: int = K, m: int = M, hot: int = HOT, with_pairs: bool = True) -> tuple[DataFrame, DataFrame]:
     """`texts(id BIGINT, text STRING)` to (found, classes).
 
     `found(kind, a, b, s, e)`: kind `pair` for two ids (a < b) of different texts that share at least `k` code
-    points; kind `run` for a piece [s, e) of record a whose windows stand in another text too.
+    points, unless `with_pairs` is off; kind `run` for a piece [s, e) of record a whose windows stand in another text too.
     `classes(rep, id)`: the members of every class of exact copies of at least `k` code points, the rep (the
     least id) included; classes of one are left out, and only reps occur in `found`.
 
@@ -216,7 +216,7 @@ def shared_spans(texts: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> tu
         long.select("id", "text").join(lists, "id").select("id", "text", "wanted")
         .mapInArrow(_pack(k), "key long, id long, start int, nwin int, before int, packed string, hot boolean")
     )
-    cold = packed.where("not hot").repartition("key").sortWithinPartitions("key").mapInArrow(_count(k), "kind string, a long, b long, s int, e int")
+    cold = packed.where("not hot").repartition("key").sortWithinPartitions("key").mapInArrow(_count(k, with_pairs), "kind string, a long, b long, s int, e int")
     single = packed.where("hot").select("key", "packed", "id", "start", "before")
     kept = single.groupBy("key", "packed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "packed")
     single = single.join(kept, ["key", "packed"])
@@ -227,7 +227,8 @@ def shared_spans(texts: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> tu
     ).select(F.lit("pair").alias("kind"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.lit(0).alias("s"), F.lit(0).alias("e"))
     hot_runs = single.select(F.lit("run").alias("kind"), F.col("id").alias("a"), F.col("id").alias("b"), F.col("start").alias("s"), (F.col("start") + k).alias("e"))
     classes = long.join(same.where("rep < top").select("td", "rep"), "td").select("rep", "id").distinct()
-    return materialize(cold.unionByName(hot_pairs).unionByName(hot_runs)), classes
+    found = cold.unionByName(hot_pairs) if with_pairs else cold
+    return materialize(found.unionByName(hot_runs)), classes
 
 
 def span_pairs(texts: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
@@ -251,7 +252,7 @@ def span_shares(texts: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> Dat
     A copy of another record's text (of at least `k` code points) is shared as a whole; null texts give no row,
     shorter ones 0 shared characters.
     """
-    found, classes = shared_spans(texts, k, m, hot)
+    found, classes = shared_spans(texts, k, m, hot, with_pairs=False)
     classes = materialize(classes)
     runs = found.where("kind = 'run'").select(F.col("a").alias("id"), "s", "e")
     reach = Window.partitionBy("id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)

@@ -79,3 +79,17 @@ def test_rolling_and_minimum():
             assert same.setdefault(tuple(codes[i : i + w]), h[i]) == h[i]
         assert len(set(h.tolist())) == len(same)
         assert (sliding_min(h, 5) == [h[i : i + 5].min() for i in range(len(h) - 4)]).all()
+
+
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_shares_build_no_pairs(spark, monkeypatch, hot):
+    """A passage that many different texts share: runs grow with the texts, pairs with their square."""
+    r = random.Random(8)
+    some = lambda n: "".join(r.choices("abcdefgh", k=n))
+    passage = some(30)
+    rows = [(i, some(20) + passage + some(20)) for i in range(40)]
+    built, whole = [], spans.shared_spans
+    monkeypatch.setattr(spans, "shared_spans", lambda *a, **b: built.append(whole(*a, **b)) or built[-1])
+    got = {x.id: x.shared_chars for x in spans.span_shares(spark.createDataFrame(rows, "id long, text string"), 20, 8, hot).collect()}
+    assert {i: n for i, (_, n) in brute(rows, 20)[1].items()} == got
+    assert built[0][0].where("kind = 'pair'").count() == 0
