@@ -1,11 +1,17 @@
 """Problem 6: sentence units in any language and script.
 
 Method: semi-Markov dynamic programming. A text is cut at line breaks and tags into lines; within a line every end
-mark with its closing quotes (and, between Thai letters, every space) may end a unit. The programme selects whole
-spans: the score of a span joins how it closes (end mark, abbreviation, initial, number, ellipsis), how the next one
-opens (case, comma, digit), whether its quotations and brackets are balanced, and its length. A candidate whose own
-score outweighs all that the other terms can add is fixed before the programme runs, which leaves its result as it is
-and keeps it linear on long lines.
+mark that is followed by white space, a closing quote or a letter of a script without spaces (and, between Thai
+letters, every space) may end a unit. The programme selects whole spans; the score of a span is the sum of
+
+- closing: how its last word and end mark close (end mark, abbreviation, initial, list number, ellipsis),
+- opening: how the span after it opens (a small letter or a comma says that the sentence goes on),
+- balance: whether it begins or ends inside a quotation or a pair of brackets that the line closes later,
+- length: whether it is too short to be one, or longer than sentences are,
+
+with the weights below. No candidate is decided before the programme runs. A predecessor matters only through its
+score, whether it lies inside a quotation and its length class, so the best one of each class is kept in a window and
+the programme is linear in the length of the line.
 
 Everything is one pass over the texts in Arrow batches; nothing is shuffled.
 """
@@ -13,6 +19,8 @@ Everything is one pass over the texts in Arrow batches; nothing is shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,15 +64,21 @@ THAI_SPACE = re.compile(rf"(?<=[\u0e00-\u0e7f{HIDDEN}])\s[\s{HIDDEN}]*(?=[\u0e00
 THAI = re.compile("[\u0e00-\u0e7f]")
 QUOTED = re.compile("[\"“”„«»「」『』()（）]")
 ELLIPSIS = re.compile(r"\.{2,}|…+")
-REST = re.compile(r"[\s.…\ufffd]*")
 OPENERS = "\"“„«»「『(（[" + "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u061c\u00ad"
 COMMAS = ",،，、;؛；"
-SURE = 6.0
+
+# Weights of the programme. Closing and opening evidence add up per end; balance and length belong to the span.
+END = 1.5  # an end mark, or a space between Thai letters
+ORDINAL = 0.25  # a number and its stop before a script without capitals
+GOES_ON = -6.0  # abbreviation, initial, list number, ellipsis; a small letter or a comma opens what follows
+INSIDE = -1.5  # a span that begins or ends inside a closed quotation or bracket
+SHORT, TOO_SHORT = 3, -0.25  # characters of the shortest span that may stand alone
+LONG, TOO_LONG = 600, -2.0  # beyond this a sentence is rare; outweighs what holds a long quotation together
 
 
 def _before(text: str, low: int, at: int) -> str:
-    """The token that ends at `at` (letters, marks, digits, inner dots and hyphens), at most 10 characters of it."""
-    i, least = at, max(low, at - 10)
+    """The token that ends at `at` (letters, marks, digits, inner dots and hyphens); of a long one its last 40 characters."""
+    i, least = at, max(low, at - 40)
     while i > least:
         c = text[i - 1]
         if c.isspace() or c in "<>()[]\"“”„«»「」『』،,;:（）":
@@ -80,16 +94,9 @@ def _opening(text: str, at: int, high: int) -> str:
     return text[at] if at < high else ""
 
 
-def closing_score(text: str, low: int, high: int, start: int, mark: str, closers: str, gap: str, after: int) -> float:
-    """How well a unit ends at an end mark that begins at `start`; positive is an end. `after` is where the next begins."""
-    if ELLIPSIS.fullmatch(mark):
-        return -SURE
-    if REST.fullmatch(text, after, high):
-        return -SURE
-    following = _opening(text, after, high)
+def closing_score(text: str, low: int, high: int, start: int, mark: str, closers: str, following: str) -> float:
+    """The evidence of an end mark at `start` and the word before it; `following` is the first character after it."""
     if mark == ".":
-        if not closers and not any(c.isspace() for c in gap):
-            return -SURE  # inside a number, a name or an abbreviation, invisible characters or not
         token = _before(text, low, start)
         if not token.isascii():
             token = canonical(token)
@@ -98,23 +105,21 @@ def closing_score(text: str, low: int, high: int, start: int, mark: str, closers
             while begin > low and text[begin - 1].isspace():
                 begin -= 1
             if begin == low or text[begin - 1] in ".!?؟۔。！？।\"”»“«)」":
-                return -SURE  # a list number belongs to what follows
-            return -SURE if following.islower() or following.isupper() else 1.0  # an ordinal
-        small = token.lower()
+                return GOES_ON  # a list number belongs to what follows
+            return GOES_ON if following.islower() or following.isupper() else ORDINAL
         if not closers:
-            if small in CLOSING:
-                return -SURE if following.islower() else SURE
-            if small in NEVER:
-                return -SURE
-            if len(token) == 1 and token.isalpha() and (token not in WORDS_OF_ONE):
-                return -SURE  # an initial, or a letter that stands for a word
-    elif mark == "۔" and not closers and following.isdigit() and len(_before(text, low, start)) == 1:
-        return -SURE
-    if following.islower():
-        return -SURE
-    if closers and text[after : after + 1] and text[after] in COMMAS:
-        return -SURE
-    return SURE
+            small = token.lower()
+            if small not in CLOSING and (small in NEVER or len(token) == 1 and token.isalpha() and token not in WORDS_OF_ONE):
+                return GOES_ON  # an abbreviation, an initial or a letter that stands for a word
+        return END
+    if mark == "۔" and not closers and following.isdigit() and len(_before(text, low, start)) == 1:
+        return GOES_ON
+    return GOES_ON if mark[0] in ".…" and ELLIPSIS.fullmatch(mark) else END
+
+
+def opening_score(text: str, after: int, closers: str, following: str) -> float:
+    """The evidence of what opens at `after`: a small letter, or a comma behind a quotation, continues the sentence."""
+    return GOES_ON if following.islower() or closers and text[after] in COMMAS else 0.0
 
 
 def _depth(piece: str) -> tuple[int, int]:
@@ -126,76 +131,128 @@ def _depth(piece: str) -> tuple[int, int]:
     return q, b
 
 
-def _span_score(text: str, a: int, b: int) -> float:
-    """Balance and length of one span: at most 1.5 below 0, never above."""
-    q, br = _depth(text[a:b])
-    return (-0.75 if q else 0.0) + (-0.5 if br else 0.0) + (-0.25 if b - a < 3 else 0.0)
+PAIRS = {"«": "»", "“": "”", "「": "」", "『": "』", "(": ")", "（": "）"}
+
+
+def _enclosed(text: str, low: int, high: int) -> list[int]:
+    """Where quotations and brackets that are also closed open and close, as a sorted flat list of disjoint intervals."""
+    marks = [(m.start(), m[0]) for m in QUOTED.finditer(text, low, high)]
+    if len(marks) < 2:
+        return []
+    closes = {v: k for k, v in PAIRS.items()}
+    if any(c == "„" for _, c in marks):
+        closes.pop("”"), closes.update({"“": "„"})
+    if next((c for _, c in marks if c in "«»"), "«") == "»":  # the German direction
+        closes.pop("»"), closes.update({"«": "»"})
+    open_at: dict[str, list[int]] = {}
+    spans: list[tuple[int, int]] = []
+    for at, c in marks:
+        if c == '"' and open_at.get(c) or c in closes and open_at.get(closes[c]):
+            spans.append((open_at[closes.get(c, c)].pop(), at))
+        elif c not in closes:
+            open_at.setdefault(c, []).append(at)
+    flat: list[int] = []
+    for a, b in sorted(spans):
+        if not flat or a > flat[-1]:
+            flat += (a, b)
+        elif b > flat[-1]:
+            flat[-1] = b
+    return flat
 
 
 def units(text: str) -> list[tuple[int, int]]:
     """The units of a text as (start, end) in code points."""
-    out: list[tuple[int, int]] = []
+    return [(a, b) for a, b, _ in marked_units(text)]
+
+
+def marked_units(text: str) -> list[tuple[int, int, int]]:
+    """The units of a text, each with the position behind its end mark: 0 if a space ended it, -1 if only its line did."""
+    out: list[tuple[int, int, int]] = []
     thai = THAI.search(text) is not None
     low, n = 0, len(text)
-    breaks = [(m.start(), m.end()) for m in BREAK.finditer(text)]
-    for at, then in [*breaks, (n, n)]:
-        _line(text, low, at, thai, out)
-        low = then
+    for m in BREAK.finditer(text):
+        if low < m.start():
+            _line(text, low, m.start(), thai, out)
+        low = m.end()
+    if low < n:
+        _line(text, low, n, thai, out)
     return out
 
 
-def _line(text: str, low: int, high: int, thai: bool, out: list[tuple[int, int]]) -> None:
+def _line(text: str, low: int, high: int, thai: bool, out: list[tuple[int, int, int]]) -> None:
     while low < high and text[low].isspace():
         low += 1
     while high > low and text[high - 1].isspace():
         high -= 1
     if low == high:
         return
-    cuts: list[tuple[int, int, float]] = []  # where a unit may end, where the next begins, score
+    cuts: list[tuple[int, int, float, int]] = []  # where a unit may end, where the next begins, score, behind the mark
+    last, tail = -1, high
+    while tail > low and (text[tail - 1] in ".…\ufffd" or text[tail - 1].isspace()):
+        tail -= 1
     for m in CANDIDATE.finditer(text, low, high):
-        after = m.end()
+        start, stop, after = m.start(), m.end(2), m.end()
         if after >= high:
+            last = m.end(1)
             break
-        score = closing_score(text, low, high, m.start(), m[1], m[2], m[3], after)
-        if score > -SURE:
-            cuts.append((m.end(2), after, score))
+        mark, closers, gap = m[1], m[2], m[3]
+        if mark == "." and not closers and (not gap or not any(c.isspace() for c in gap)):
+            continue  # inside a number, a name or an abbreviation, invisible characters or not
+        following = _opening(text, after, high)
+        score = closing_score(text, low, high, start, mark, closers, following) + opening_score(text, after, closers, following)
+        if after >= tail:
+            score = GOES_ON  # only dots and broken characters follow
+        cuts.append((stop, after, score, m.end(1)))
     if thai:
-        cuts += [(m.start(), m.end(), SURE) for m in THAI_SPACE.finditer(text, low, high)]
+        cuts += [(m.start(), m.end(), END, 0) for m in THAI_SPACE.finditer(text, low, high)]
         cuts.sort()
     if not cuts:
-        out.append((low, high))
+        out.append((low, high, last))
         return
-    if QUOTED.search(text, low, high):
-        # an end inside an open quotation or bracket is not sure: the programme decides
-        begin, checked = low, []
-        for end, after, score in cuts:
-            q, b = _depth(text[begin:end])
-            checked.append((end, after, 1.0 if q or b else score))
-            begin = begin if q or b else after
-        cuts = checked
-    begin, held = low, []
-    for cut in [*cuts, (high, high, SURE)]:
-        held.append(cut)
-        if cut[2] >= SURE:
-            if len(held) == 1:
-                out.append((begin, cut[0]))
-            else:
-                _programme(text, begin, held, out)
-            begin, held = cut[1], []
-
-
-def _programme(text: str, begin: int, cuts: list[tuple[int, int, float]], out: list[tuple[int, int]]) -> None:
-    """The best segmentation of the span up to the last cut, which is fixed."""
-    best, back = [0.0], [0]
-    starts = [begin, *(after for _, after, _ in cuts)]
-    for j, (end, _, score) in enumerate(cuts, 1):
-        top, frm = max((best[i] + _span_score(text, starts[i], end), -i) for i in range(j))
-        best.append(top + score)
-        back.append(-frm)
-    spans, j = [], len(cuts)
+    flat = _enclosed(text, low, high) if QUOTED.search(text, low, high) else []
+    inside = [bisect_left(flat, c[0]) % 2 == 1 for c in cuts] if flat else None
+    _programme(low, high, last, cuts, inside, out)
+
+
+def _programme(begin: int, high: int, last: int, cuts: list[tuple[int, int, float, int]], inside: list[bool] | None, out: list[tuple[int, int, int]]) -> None:
+    """The spans of the best total score, appended to `out`; of equal totals the one with fewer ends."""
+    first = [begin, *(c[1] for c in cuts)]
+    ends = [*(c[0] for c in cuts), high]
+    held = [False, *(inside or [False] * len(cuts)), False]  # whether boundary i lies inside a quotation
+    best, back = [0.0], []
+    # the best predecessor of ordinary length for a span that ends outside (0) and inside (1), and of too long spans
+    window: tuple[deque, deque] = (deque(), deque())
+    far: list[tuple[float, int]] = [(float("-inf"), 0)] * 2
+    kinds = (0, 1) if inside and any(inside) else (0,)
+    entered = 0
+    for j, end in enumerate(ends):
+        while entered <= j and first[entered] <= end - SHORT:
+            for kind in kinds:
+                value = best[entered] + (INSIDE if kind or held[entered] else 0.0)
+                while window[kind] and window[kind][-1][0] < value:
+                    window[kind].pop()
+                window[kind].append((value, entered))
+            entered += 1
+        kind = 1 if held[j + 1] else 0
+        for k in kinds:
+            while window[k] and first[window[k][0][1]] < end - LONG:
+                value, i = window[k].popleft()
+                if value + TOO_LONG > far[k][0]:
+                    far[k] = (value + TOO_LONG, i)
+        top = far[kind]
+        if window[kind] and (window[kind][0][0] > top[0] or window[kind][0][0] == top[0] and window[kind][0][1] < top[1]):
+            top = window[kind][0]
+        for i in range(entered, j + 1):  # the few that make a span of less than SHORT characters
+            value = best[i] + (INSIDE if kind or held[i] else 0.0) + TOO_SHORT
+            if value > top[0]:
+                top = (value, i)
+        best.append(top[0] + (cuts[j][2] if j < len(cuts) else 0.0))
+        back.append(top[1])
+    spans, j = [], len(ends)
     while j:
-        spans.append((starts[back[j]], cuts[j - 1][0]))
-        j = back[j]
+        i = back[j - 1]
+        spans.append((first[i], ends[j - 1], cuts[j - 1][3] if j <= len(cuts) else last))
+        j = i
     out.extend(reversed(spans))
 
 
