@@ -7,8 +7,9 @@ on, and its log-odds are held against a threshold of its language: a tenth of th
 language's own end characters have, so a language without end marks (Thai) gets a threshold that only a broken word
 falls below.
 
-What no character model can know is taken from structure first: lines that are closed by a line break or tag,
-headings, signature lines and list items are complete; a quotation or bracket that stays open, an abbreviation, a
+What no character model can know is taken from structure first: lines that are closed by a line break or `<br>`,
+headings, signature lines and list items are complete (the closing tag of a paragraph says nothing, it may be put
+after a break); a quotation or bracket that stays open, an abbreviation, a
 broken character and a comma are not.
 
 The counts are combined per context on the map side and by Spark and stay a table of the shared folder, whatever its
@@ -29,23 +30,23 @@ from pyspark.sql import functions as F
 from ..plans.runtime import materialize, spread, table
 from .codes import code_points, mixed, pieces, rolling
 from .lookalike import canonical
-from .sentences import BREAK, CLOSING, HIDDEN, NEVER, THAI, WORDS_OF_ONE, _before, _depth, units
+from .sentences import BREAK, CLOSING, HIDDEN, NEVER, THAI, WORDS_OF_ONE, _before, _depth, marked_units
 
 ORDERS = (1, 2, 3, 4, 5)
 PAD = max(ORDERS)
 HELD = 4_000_000  # contexts in a task's memory; more are handed on in parts
-LEAST = 10  # a context seen less often stays with its shorter one
 PULL = 20.0  # weight of the shorter context's probability
 FEW = 10  # ends below which a language takes the threshold of all together
 PART = 0.1  # of the mean end probability, for the threshold
 
-CLOSED = re.compile(rf"(?:[\n\r  ]|<br\s*/?>|</p>)[\s{HIDDEN}]*\Z", re.I)
+CLOSED = re.compile(rf"(?:[\n\r\u2028\u2029]|<br\s*/?>)[\s{HIDDEN}]*\Z", re.I)
 PUT_AFTER = re.compile(rf"[\s{HIDDEN}]*(?:…|\.\.\.|\[\s*(?:…|\.\.\.)\s*\])[\s{HIDDEN}]*\Z")
 TAGS = re.compile(r"</?\w+\s*/?>\s*\Z")
+PARAGRAPH = re.compile(r"(?:</?p>\s*)+\Z", re.I)
 SIGNATURE = re.compile(r"(?:[—–-]\s*[^\W\d]+(?:\s*,\s*\d+(?:[:/]\d+)?)?|[\[(]?[^\W\d]+,?\s\d+(?:[:/]\d+)?[\])])|[^\W\d]+,\s\d+:\d+")
 HEADING = re.compile(r"[^\d\s.,:;!?()\[\]]+\s+\d+|第\s*\d+\s*[^\W\d]|[\u0e00-\u0e7f]+\d+")
 ITEM = re.compile(r"\d{1,3}[.)．]\s*(?=\S)|[-*•]\s+(?=\S)")
-ENDED = re.compile(rf"([.!?؟۔。！？।॥]+)((?:[{HIDDEN}]*[\"”»“«’'\)\]」』）】》]|[   ]»)*)\Z")
+ENDED = re.compile(rf"([.!?؟۔。！？।॥]+)((?:[{HIDDEN}]*[\"”»“«’'\)\]」』）】》]|[ \u00a0\u202f]»)*)\Z")
 
 
 QUOTED_END = re.compile(rf"([!?؟۔。！？।॥]|(?<!\.)\.)(?=[{HIDDEN}]*[\"”»“«」』])")
@@ -84,7 +85,7 @@ def structure(text: str) -> tuple[str, str]:
         return "cut", body
     rest = PUT_AFTER.sub("", body)
     marked = rest != body
-    if not marked and CLOSED.search(text):
+    if not marked and (CLOSED.search(text) or CLOSED.search(PARAGRAPH.sub("", text))):
         return "complete", text
     while (m := TAGS.search(rest)) is not None:
         rest = rest[: m.start()].rstrip()
@@ -92,7 +93,7 @@ def structure(text: str) -> tuple[str, str]:
     line = last_line(rest)
     if not line:
         return "complete", rest
-    shown = canonical(line).strip()
+    shown = canonical(line).strip() if len(line.split(None, 4)) < 5 else ""  # neither has more than four words
     if SIGNATURE.fullmatch(shown) or HEADING.fullmatch(shown):
         return ("cut" if marked else "complete"), rest
     item = ITEM.match(line)
@@ -104,7 +105,7 @@ def structure(text: str) -> tuple[str, str]:
             return "complete", rest
     if THAI.match(rest[-1]):
         return "ask", rest
-    start, stop = units(line)[-1]
+    start, stop, _ = marked_units(line)[-1]
     q, b = _depth(line[start:stop])
     if q or b:
         return "cut", rest
@@ -152,16 +153,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = np.zeros(len(codes) + 1, bool)
         end = np.zeros(len(codes) + 1, bool)
         for t, a in zip(texts, at.tolist()):
-            found = units(t)
+            found = marked_units(t)
             if len(found) < 2:
                 continue
             base = a + PAD
             use[base + 1 : base + found[-1][0] + 1] = True
-            for _, e in found[:-1]:
-                if mark := ENDED.search(t, max(0, e - 12), e):
-                    end[base + mark.end(1)] = True
-                elif THAI.match(t[e - 1]) and t[e : e + 1] not in "<\n":
-                    end[base + e] = True
+            for _, e, mark in found[:-1]:
+                if mark >= 0:
+                    end[base + (mark or e)] = True
                 else:
                     use[base + e] = False  # closed by its line, which says nothing of the characters
             for mark in QUOTED_END.finditer(t, 0, found[-1][0]):
@@ -292,7 +291,7 @@ def judged(texts: DataFrame) -> DataFrame:
     found = materialize(spread(usable).mapInArrow(_structure, f"id {kind}, truncated boolean, lang string, tail string"))
     asked = found.where("tail is not null").select("id", "lang", "tail")
     keys = asked.select("lang", "tail").distinct().mapInArrow(_final_keys, "lang string, tail string, k int, key long")
-    known = counts.where(f"lang is null and n >= {LEAST}").select("key", "n", "n_end")
+    known = counts.where("lang is null").select("key", "n", "n_end")
     longer = [F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}_{k}") for k in ORDERS[1:] for c in ("n", "n_end")]
     contexts = keys.join(known, "key").groupBy("lang", "tail").agg(*longer)
     by_model = asked.join(contexts, ["lang", "tail"], "left").select("id", "lang", "tail", *contexts.columns[2:])
