@@ -3,7 +3,9 @@
 Plan: the parents are reduced to one row per key with their validity (earliest live arrival), combined on the map
 side, so a key with many parent rows costs one row. References and parents are then co-partitioned and sorted by key
 and merged linearly (a sort-merge join; the merge hint keeps it so at any size). A hot key is a hot reference key
-only, since the parent side is unique, and adaptive execution splits its partition.
+only, since the parent side is unique, and adaptive execution splits its partition. It can do so only where both sides
+of the merge are an exchange, which is why the reduced parents are written first: read back, they are exchanged like
+the references, instead of ending in the aggregation's own partitioning.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import table
+from ..plans.runtime import materialize, table
 
 
 def orphans(refs: DataFrame, parents: DataFrame, keys: list[tuple[str, str]], ref_id: str, ref_at: str, parent_at: str, parent_deleted: str) -> DataFrame:
@@ -40,7 +42,7 @@ def orphans(refs: DataFrame, parents: DataFrame, keys: list[tuple[str, str]], re
         F.when(F.col("_live").isNull(), "missing").when(~F.col("_live"), "deleted")
         .when(~F.col("_always") & (F.col("_from") > F.col("loaded_at")), "late")
     )
-    return r.join(p.hint("merge"), k, "left").select("row_id", "loaded_at", reason.alias("reason")).where("reason is not null")
+    return r.join(materialize(p).hint("merge"), k, "left").select("row_id", "loaded_at", reason.alias("reason")).where("reason is not null")
 
 
 def all_orphans(spark, folder: str) -> DataFrame:
