@@ -36,6 +36,27 @@ def test_empty_tables_and_repeated_rows(spark):
     assert orphans(r, spark.createDataFrame([], PAR), KEYS, "id", "at", "at", "gone").count() == 3
 
 
+def test_a_hot_reference_key_is_split(spark):
+    """Half of all references name one key: adaptive execution splits its partition."""
+    was = {c: spark.conf.get(c, None) for c in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor")}
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "100k")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50k")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+    try:
+        refs = spark.range(0, 400_000, 1, 4).select("id", F.lit("k").alias("k"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5000).cast("int").alias("n"), F.lit(D(5)).alias("at"))
+        refs = refs.withColumn("at", F.col("at").cast("timestamp_ntz"))
+        parents = spark.createDataFrame([("k", i, D(1 + 8 * (i % 2)), None, "") for i in range(4000)], PAR)
+        df = orphans(refs, parents, KEYS, "id", "at", "at", "gone")
+        n = {r.reason: r["count"] for r in df.groupBy("reason").count().collect()}
+        df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+        ids = range(1, 400_000, 2)
+        assert n == {"late": sum(i % 5000 < 4000 and i % 5000 % 2 == 1 for i in ids), "missing": sum(i % 5000 >= 4000 for i in ids)}
+    finally:
+        for c, v in was.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
 SIDE = "k string, n int, t string, p int, bucket int, side string"
 
 
@@ -52,6 +73,20 @@ def test_differences_field_by_field(spark):
         assert diff(spark, a, b, buckets=n) == sorted(want, key=repr)
 
 
+def test_many_unequal_buckets_are_joined_and_few_differences_leave_texts_unread(spark):
+    a = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("n"), F.lit("t" * 200).alias("t"), F.lit(1).alias("p"))
+    b = a.withColumn("t", F.when(F.col("k") % 100 == 7, "other").otherwise(F.col("t")))
+    for most in (0, 10**6):
+        df = differences(a, b, ["k", "n"], ["t", "p"], ("l", "r"), most=most)
+        assert sorted(r.k for r in df.collect()) == sorted(str(i) for i in range(7, 20_000, 100))
+        assert ("BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+    # one differing key in a hundred: most rows lie in equal buckets
+    buckets = max(4096, 20_000 // 8)
+    hit = {int(r.b) for r in b.where("t = 'other'").select(F.pmod(F.xxhash64("k", "n"), F.lit(buckets)).alias("b")).collect()}
+    read = b.where(F.pmod(F.xxhash64("k", "n"), F.lit(buckets)).isin(list(hit))).count()
+    assert read <= 0.1 * 20_000
+
+
 def test_differences_repeated_deliveries_and_empty(spark):
     a = [("x", 1, "v" * 50_000, 1, 0, "")]
     assert diff(spark, a * 3, a) == []
