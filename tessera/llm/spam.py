@@ -1,12 +1,16 @@
 """Problem 9: keyword-stuffed pages, link lists and tag lists.
 
-Method: phrase shingles and list density. Every page's words are put down as words of sentences, words of lists
+Method: phrase shingles and list density, joined. Every page's words are put down as words of sentences, words of lists
 (links, tags, lines without an end mark) or words of phrases that the page keeps repeating. The shingles of five words
-of every sentence and line, and those of the list words in their order, are exploded and their hosts and different
-texts counted over all documents. A page is flagged when
-- at least half of its words stand in lists or repeated phrases, or
-- somewhat fewer do, but most of its list phrases stand on other hosts too, or
-- nearly all its phrases, in lists or not, stand on other hosts and in two other texts at least: it is stitched.
+of every sentence, and of every run of lines that are none, are exploded and their hosts and different texts counted
+over all documents. A phrase that stands on another host and in two other texts at least is replicated, and the
+share of a page's phrases that are replicated tells how far it is stitched from what stands elsewhere. Both go into
+one evidence,
+
+    bad share / DENSE + stitched share / STITCHED,
+
+and a page is flagged where it reaches 1: a page of lists alone, a page of sentences only if nearly all its phrases are
+replicated, and between them the more lists the fewer replicated phrases are needed.
 
 Pages with one text count as one, so that a copy of an honest page, all of whose phrases stand on other hosts, is not
 taken for a stitched one. Phrases are pre-aggregated on the map side, so one that a third of all pages share costs one
@@ -16,7 +20,6 @@ row per task. A page's phrases go to the join only where a bitmap of fixed size
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,30 +30,28 @@ from pyspark.sql import functions as F
 
 from ..plans.runtime import materialize, spread, table
 from .codes import BASE, mixed, pieces
-from .sentences import units
+from .sentences import marked_units
 
 SHINGLE = 5
-MOST = 0.5  # of the words in lists or repeated phrases: flagged
-MANY = 0.35  # flagged where also most list phrases are replicated
-REPLICATED = 0.5
-STITCHED = 0.8  # of all phrases; an honest page around one passage that others quote too reaches 0.75
-TEXTS = 3  # different texts with a phrase, the page's own among them, for a stitched page; a text and its revision are two
-PHRASES = 20  # fewer don't make a page stitched: terse notes may be all formula
+DENSE = 0.7  # of the words in lists or repeated phrases: flagged without any replicated phrase
+STITCHED = 0.8  # of the phrases replicated: flagged without any list; a page around one passage that others quote has 0.75
+TEXTS = 3  # different texts with a replicated phrase, the page's own among them; a text and its revision are two
+PHRASES = 20  # fewer are no evidence: terse notes may be all formula
 SHORT = 3  # words of a sentence that counts as one phrase
-LISTED_KEY = np.int64(0x5BF03635A5A5C3D1)  # tells list phrases from the same words in a sentence
 SLOTS = 1 << 28  # bits, for phrases that are replicated
+BROADCAST_TEXTS = 1_000_000  # digests of texts that occur more than once, 16 bytes each; beyond, all texts are grouped
 REPEATS = 3  # a pair of words that occurs so often in one page counts as repeated ...
 REPEATED_LEAST = 0.2  # ... where such pairs make up so much of the page; fewer are refrains and plain language
 
 WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
 LINK = re.compile(
-    r"<a\s[^>]*>.*?(?:</a>|$)|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|info|test|example|invalid)\b\S*|#\w+",
+    r"<a\s[^>]*>.*?(?:</a>|$)|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|#\w+|\b(?-i:[a-z0-9][a-z0-9-]+(?:\.[a-z0-9-]{2,})*\.[a-z]{2,})\b(?:[/?:]\S*)?",
     re.I | re.M,
 )
-ENDS = re.compile(r"[.!?؟۔。！？।॥…]+[\"”»“«’'\)\]」』）]*\s*»?\Z")
 WRAPPED = 3  # lines at most, above the one that ends a sentence
 LISTED = re.compile(r"[\d|#*•>/_]")
 LONG_RUN = "⺀"
+UNSPACED = re.compile("[฀-๿⺀-\U0010ffff]")
 
 
 def weight(word: str) -> float:
@@ -71,27 +72,24 @@ class Memo(dict):
         return h
 
 
-def shingles(pages: list[list[list[str]]], memo: Memo, least: int = SHINGLE) -> list[np.ndarray]:
-    """For each page, the distinct hashes of all runs of five words in each unit; a unit of fewer, but at least `least`, is one run."""
-    if len(memo) > 500_000:
-        memo.clear()
-    words = [w for units_ in pages for unit in units_ for w in unit]
-    size = np.array([len(unit) for units_ in pages for unit in units_], np.int64)
-    end = np.repeat(np.cumsum(size), size)
-    left, of = end - np.arange(len(words)), np.repeat(size, size)
-    h = np.zeros(len(words) + SHINGLE, np.uint64)
-    h[: len(words)] = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    run, out = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint64)
-    use = left >= SHINGLE
+def _shingles(h: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, usable) for each word: of the five words from it on in its run; a run of fewer, but at least SHORT, is one phrase."""
+    n = len(h)
+    new = np.ones(n, bool)
+    new[1:] = run[1:] != run[:-1]
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, n))
+    of = np.repeat(size, size)
+    left = np.repeat(head + size, size) - np.arange(n)
+    padded = np.append(h, np.zeros(SHINGLE, np.uint64))
+    rolled, out, use = np.zeros(n, np.uint64), np.zeros(n, np.uint64), left >= SHINGLE
     with np.errstate(over="ignore"):
         for width in range(1, SHINGLE + 1):
-            run = run * BASE + h[width - 1 : width - 1 + len(words)]
-            if least <= width < SHINGLE:
+            rolled = rolled * BASE + padded[width - 1 : width - 1 + n]
+            if SHORT <= width < SHINGLE:
                 whole = (of == width) & (left == width)
-                out[whole], use = run[whole], use | whole
-        out = mixed(np.where(left >= SHINGLE, run, out)).view(np.int64)
-    ends = np.cumsum([sum(map(len, units_)) for units_ in pages]).tolist()
-    return [np.unique(out[a:b][use[a:b]]) for a, b in zip([0, *ends], ends)]
+                out[whole], use = rolled[whole], use | whole
+        return mixed(np.where(left >= SHINGLE, rolled, out)), use
 
 
 def _wrapped(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
@@ -100,94 +98,107 @@ def _wrapped(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
     return gap.strip() == "" and gap.count("\n") == 1 and len(line) < 120 and not LISTED.search(line) and not then[:1].isupper()
 
 
-def page(text: str) -> tuple[float, float, float, list[str]]:
-    """(words, words in lists, words in lists or repeated phrases, the list words in order)."""
-    return _page(text)[:4]
-
-
-def _page(text: str) -> tuple[float, float, float, list[str], list[list[str]]]:
-    """As `page`, and the words of each sentence and line."""
+def _split(text: str, words: list[str], listed: list[bool], run: list[int]) -> None:
+    """Append the words of a text, whether each stands in a list, and the number of its sentence or run of lines."""
+    low = text.lower()
+    spans = marked_units(text)
+    same = len(low) == len(text)
+    unspaced = UNSPACED.search(low) is not None
     links = [(m.start(), m.end()) for m in LINK.finditer(text)]
-    words: list[str] = []
-    listed: list[bool] = []
-    each: list[list[str]] = []
-    at = 0
-    spans = units(text)
-    found_in = [[(m.start(), m[0].lower()) for m in WORD.finditer(text, s, e)] for s, e in spans]
-    sentence = [sum(weight(w) for _, w in f) >= 3 and ENDS.search(text, max(s, e - 16), e) is not None for f, (s, e) in zip(found_in, spans)]
+    found_in = [WORD.findall(low, s, e) if same else [w.lower() for w in WORD.findall(text, s, e)] for s, e, _ in spans]
+    sentence = [mark > 0 and (len(f) >= 3 or unspaced and sum(map(weight, f)) >= 3) for f, (_, _, mark) in zip(found_in, spans)]
     chain = 0
     for i in range(len(spans) - 2, -1, -1):  # a wrapped line belongs to the sentence that it begins
         chain = 0 if sentence[i] else chain
-        if not sentence[i] and sentence[i + 1] and chain < WRAPPED and _wrapped(text, spans[i], spans[i + 1]):
+        if not sentence[i] and sentence[i + 1] and chain < WRAPPED and _wrapped(text, spans[i][:2], spans[i + 1][:2]):
             sentence[i], chain = True, chain + 1
-    for found, whole in zip(found_in, sentence):
-        begin = len(words)
-        for p, w in found:
-            while at < len(links) and links[at][1] <= p:
-                at += 1
-            in_list = not whole or at < len(links) and links[at][0] <= p
-            if w[0] < "฀":
-                words.append(w)
-                listed.append(in_list)
-                continue
-            for part in spaced(w):
-                words.append(part)
-                listed.append(in_list)
-        each.append(words[begin:])
-    n = float(len(words))
-    pairs = list(zip(words, words[1:]))
-    count = Counter(pairs)
-    repeated = [False] * len(words)
-    often = {p for p, k in count.items() if k >= REPEATS}
-    for i, p in enumerate(pairs) if often else ():
-        if p in often:
-            repeated[i] = repeated[i + 1] = True
-    if n and sum(repeated) < REPEATED_LEAST * n:
-        repeated = [False] * len(words)
-    bad = sum(a or b for a, b in zip(listed, repeated))
-    return n, float(sum(listed)), float(bad), [w for w, x in zip(words, listed) if x], each
-
-
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(x) for x in parts], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+    number, before, at = run[-1] if run else 0, True, 0
+    for (s, e, _), found, whole in zip(spans, found_in, sentence):
+        number += whole or before
+        before = whole
+        flags = [not whole] * len(found)
+        while at < len(links) and links[at][1] <= s:
+            at += 1
+        if whole and at < len(links) and links[at][0] < e:  # links inside a sentence
+            k = at
+            for i, m in enumerate(WORD.finditer(text, s, e)):
+                while k < len(links) and links[k][1] <= m.start():
+                    k += 1
+                flags[i] = k < len(links) and links[k][0] <= m.start()
+        if unspaced:
+            pieces_of = [spaced(w) for w in found]
+            flags = [x for x, p in zip(flags, pieces_of) for _ in p]
+            found = [w for p in pieces_of for w in p]
+        words += found
+        listed += flags
+        run += [number] * len(found)
+
+
+def pages(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For each text: words, words in lists, words in lists or repeated phrases, and the distinct hashes of its phrases."""
+    words: list[str] = []
+    listed: list[bool] = []
+    run: list[int] = []
+    ends = []
+    for t in texts:
+        _split(t, words, listed, run)
+        ends.append(len(words))
+    if len(memo) > 500_000:
+        memo.clear()
+    size = np.diff(np.array([0, *ends]))
+    page = np.repeat(np.arange(len(texts)), size)
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    in_list = np.array(listed, bool)
+    repeated = np.zeros(len(words), bool)
+    if len(words) > 1:
+        with np.errstate(over="ignore"):
+            pair = mixed((h[:-1] * BASE + h[1:]) ^ mixed(page[:-1].astype(np.uint64) + np.uint64(1)))
+        valid = np.flatnonzero(page[1:] == page[:-1])
+        _, index, count = np.unique(pair[valid], return_inverse=True, return_counts=True)
+        often = valid[count[index] >= REPEATS]
+        repeated[often] = repeated[often + 1] = True
+        enough = np.bincount(page, repeated, len(texts)) >= REPEATED_LEAST * size
+        repeated &= enough[page]
+    phrase, use = _shingles(h, np.array(run, np.int64)) if words else (h, repeated)
+    phrase = phrase.view(np.int64)
+    begin = [0, *ends]
+    return (
+        size.astype(np.float64), np.bincount(page, in_list, len(texts)), np.bincount(page, in_list | repeated, len(texts)),
+        [np.unique(phrase[a:b][use[a:b]]) for a, b in zip(begin, ends)],
+    )
+
+
+def page(text: str) -> tuple[float, float, float]:
+    """(words, words in lists, words in lists or repeated phrases) of one text."""
+    n, lists, bad, _ = pages([text], Memo())
+    return float(n[0]), float(lists[0]), float(bad[0])
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = Memo()
     for batch, texts in pieces(batches, "text"):
-        rows = [_page(t) for t in texts]
-        phrases = shingles([r[4] for r in rows], memo, SHORT)
-        listed = [x ^ LISTED_KEY for x in shingles([[r[3]] for r in rows], memo)]
-        asked = [x if MANY * r[0] <= r[2] < MOST * r[0] else x[:0] for r, x in zip(rows, listed)]
+        n, lists, bad, phrases = pages(texts, memo)
+        offsets = np.zeros(len(phrases) + 1, np.int32)
+        np.cumsum([len(x) for x in phrases], out=offsets[1:])
+        held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *phrases])))
         yield pa.RecordBatch.from_arrays(
-            [
-                *(batch.column(i) for i in range(3)),
-                *(pa.array([r[i] for r in rows], pa.float64()) for i in range(3)),
-                _lists(phrases),
-                _lists(listed),
-                _lists(asked),
-            ],
-            names=["digest", "low", "high", "n_words", "n_listed", "n_bad", "phrases", "others", "asked"],
+            [*(batch.column(i) for i in range(3)), pa.array(n), pa.array(lists), pa.array(bad), held],
+            names=["digest", "low", "high", "n_words", "n_listed", "n_bad", "phrases"],
         )
 
 
 def _possible(shared):
-    """The phrases of each page (`listed`: of its list words, where they are asked for) that may be replicated."""
+    """The phrases of each page that may be replicated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: np.ndarray = shared.value
         for batch in batches:
-            for i, listed in ((1, False), (2, True)):
-                column = batch.column(i)
-                phrase = column.flatten().to_numpy(zero_copy_only=False)
-                owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
-                slot = phrase & (SLOTS - 1)
-                keep = (words[slot >> 6] >> (slot & 63)) & 1 == 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(owner[keep])), pa.array(np.full(int(keep.sum()), listed)), pa.array(phrase[keep])], names=["digest", "listed", "phrase"]
-                )
+            column = batch.column(1)
+            phrase = column.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+            slot = phrase & (SLOTS - 1)
+            keep = (words[slot >> 6] >> (slot & 63)) & 1 == 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[keep])), pa.array(phrase[keep])], names=["digest", "phrase"])
 
     return run
 
@@ -201,40 +212,46 @@ def _bitmap(phrases: DataFrame) -> np.ndarray:
     return words
 
 
-def scored(documents: DataFrame) -> DataFrame:
-    """`documents(doc_id, source STRING, text STRING)` to (doc_id, n_words, list_share, bad_share, replicated_share, stitched_share, list_replicated_share, spam).
+def scored(documents: DataFrame, most: int = BROADCAST_TEXTS) -> DataFrame:
+    """`documents(doc_id, source STRING, text STRING)` to (doc_id, n_words, list_share, bad_share, stitched_share, evidence, spam).
 
     The source is the host; a null source is a host of its own. Null texts give no row; texts without a word are not
-    spam. `replicated_share` is that of the phrases on other hosts, `stitched_share` that of those also in other texts,
-    both null without a phrase; `list_replicated_share` is null unless list density leaves the page open.
+    spam and have the evidence 0. `stitched_share` is that of a page's phrases that stand on two hosts and in three
+    texts at least, null without a phrase.
     """
     host = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("host")
-    digest = F.unhex(F.md5("text")).alias("digest")
+    digest_of_text = F.unhex(F.md5("text"))
+    digest = digest_of_text.alias("digest")
     usable = documents.where("text is not null")
-    texts = usable.select(host, "text").groupBy("text").agg(F.min("host").alias("low"), F.max("host").alias("high"))
-    pages = materialize(
-        spread(texts.select(digest, "low", "high", "text"))
-        .mapInArrow(_pages, "digest binary, low long, high long, n_words double, n_listed double, n_bad double, phrases array<long>, others array<long>, asked array<long>")
+    # one row a text, of which only those that occur more than once have to be moved
+    rows = spread(usable.select(host, "text"))
+    twice = materialize(rows.groupBy(digest).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
+    once, several = None, rows
+    if twice.count() <= most:
+        keyed = rows.select(digest, F.col("host").alias("low"), F.col("host").alias("high"), "text")
+        once = keyed.join(F.broadcast(twice), "digest", "left_anti")
+        several = rows.join(F.broadcast(twice), digest_of_text.eqNullSafe(twice["digest"]), "left_semi")
+    texts = several.groupBy("text").agg(F.min("host").alias("low"), F.max("host").alias("high")).select(digest, "low", "high", "text")
+    judged = materialize(
+        (texts if once is None else once.unionByName(texts))
+        .mapInArrow(_pages, "digest binary, low long, high long, n_words double, n_listed double, n_bad double, phrases array<long>")
     )
-    each = pages.select("low", "high", F.explode(F.concat("phrases", "others")).alias("phrase"))
+    each = judged.select("low", "high", F.explode("phrases").alias("phrase"))
     counted = each.groupBy("phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n"))
-    wide = materialize(counted.where("low != high").select("phrase", (F.col("n") >= TEXTS).alias("stitched")))
+    wide = materialize(counted.where((F.col("low") != F.col("high")) & (F.col("n") >= TEXTS)).select("phrase"))
     bits = documents.sparkSession.sparkContext.broadcast(_bitmap(wide))
-    possible = pages.select("digest", "phrases", "asked").mapInArrow(_possible(bits), "digest binary, listed boolean, phrase long")
-    hits = possible.join(wide, "phrase").groupBy("digest").agg(
-        F.count_if(~F.col("listed")).alias("n_replicated"), F.count_if(~F.col("listed") & F.col("stitched")).alias("n_stitched"), F.count_if("listed").alias("n_list_replicated")
-    )
+    possible = judged.select("digest", "phrases").mapInArrow(_possible(bits), "digest binary, phrase long")
+    hits = possible.join(wide, "phrase").groupBy("digest").agg(F.count(F.lit(1)).alias("n_replicated"))
     share = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(0.0)
-    of = lambda c, all_of: F.when(F.size(all_of) > 0, F.coalesce(F.col(c), F.lit(0)) / F.size(all_of))
-    judged = pages.join(hits, "digest", "left").select(
+    n_phrases = F.col("n_phrases")
+    scores = judged.select("digest", "n_words", "n_listed", "n_bad", F.size("phrases").alias("n_phrases"))  # the phrases stay behind
+    each_page = scores.join(hits, "digest", "left").select(
         "digest", F.col("n_words").cast("long").alias("n_words"), share("n_listed").alias("list_share"), share("n_bad").alias("bad_share"),
-        of("n_replicated", "phrases").alias("replicated_share"), of("n_stitched", "phrases").alias("stitched_share"), of("n_list_replicated", "asked").alias("list_replicated_share"),
-        F.size("phrases").alias("n_phrases"),
+        F.when(n_phrases > 0, F.coalesce("n_replicated", F.lit(0)) / n_phrases).alias("stitched_share"), "n_phrases",
     )
-    between = (F.col("bad_share") >= MANY) & (F.coalesce("list_replicated_share", F.lit(0.0)) >= REPLICATED)
-    stitched = (F.col("n_phrases") >= PHRASES) & (F.coalesce("stitched_share", F.lit(0.0)) >= STITCHED)
-    spam = ((F.col("bad_share") >= MOST) | between | stitched) & (F.col("n_words") > 0)
-    return usable.select("doc_id", digest).join(judged.withColumn("spam", spam).drop("n_phrases"), "digest").drop("digest")
+    stitched = F.when(F.col("n_phrases") >= PHRASES, F.col("stitched_share")).otherwise(0.0)
+    each_page = each_page.withColumn("evidence", F.col("bad_share") / DENSE + stitched / STITCHED).withColumn("spam", F.col("evidence") >= 1).drop("n_phrases")
+    return usable.select("doc_id", digest).join(each_page, "digest").drop("digest")
 
 
 def p9_found(spark, folder: str) -> DataFrame:

@@ -101,12 +101,18 @@ def test_spam(spark):
 
 
 def test_replicated_phrases_decide_between(spark):
-    half = PROSE + "Then it goes on for a while in plain words.\n" + " ".join(f"part{i}" for i in range(24))
-    n, _, bad, _ = spam.page(half)
-    assert spam.MANY <= bad / n < spam.MOST
-    for sources, want in ((["a", "b"], True), (["a", "a"], False), ([None, None], False), ([None, ""], True)):
-        df = spark.createDataFrame([(i, s, half) for i, s in enumerate(sources)], "doc_id long, source string, text string")
-        assert {r.spam for r in spam.scored(df).collect()} == {want}
+    """Pages of one density differ by replication alone: list phrases on other hosts and in other texts, or not."""
+    r = random.Random(8)
+    prose = lambda: " ".join("".join(r.choices("abcdefghijk", k=6)) for _ in range(24)).capitalize() + "."
+    shared, df = " ".join(f"part{i}" for i in range(30)), lambda x: spark.createDataFrame(x, "doc_id long, source string, text string")
+    rows = [(i, f"h{i % 2}", prose() + "\n" + shared) for i in range(4)] + [(10 + i, f"h{i}", prose() + "\n" + " ".join(f"own{i}{k}" for k in range(30))) for i in range(4)]
+    copied = prose() + "\n" + " ".join(f"copied{k}" for k in range(30))
+    rows += [(20 + i, f"h{i}", copied) for i in range(4)]
+    got = {x.doc_id: x for x in spam.scored(df(rows)).collect()}
+    assert len({round(x.bad_share, 9) for x in got.values()}) == 1 and got[0].bad_share < spam.DENSE
+    assert {i for i, x in got.items() if x.spam} == {0, 1, 2, 3} and got[20].stitched_share == 0
+    one_host = spam.scored(df([(i, "h", t) for i, _, t in rows])).collect()
+    assert not any(x.spam for x in one_host)
 
 
 def test_pages_stitched_from_replicated_sentences(spark):
@@ -123,5 +129,5 @@ def test_pages_stitched_from_replicated_sentences(spark):
     df = lambda x: spark.createDataFrame(x, "doc_id long, source string, text string")
     got = {x.doc_id: x for x in spam.scored(df(rows)).collect()}
     assert {i for i, x in got.items() if x.spam} == set(range(40)) and len(got) == len(rows)
-    assert got[100].replicated_share == 1.0 and got[100].stitched_share == 0.0 and got[200].replicated_share == 0.0
+    assert got[100].stitched_share == 0.0 and got[200].stitched_share == 0.0 and got[0].stitched_share == 1.0
     assert not any(x.spam for x in spam.scored(df([(i, "h", t) for i, _, t in stitched])).collect())
