@@ -6,15 +6,18 @@ packed string to the bucket of that minimiser. Equal windows have equal minimise
 where sorting the windows counts them exactly.
 
 Plan, in order:
-1. one scan gives the super-k-mers as numbers (minimiser, record, start, windows), without text;
-2. an aggregation by minimiser (combined on the map side) finds the buckets that two different texts reach; all
+1. one scan gives the super-k-mers as numbers (minimiser, record, start, windows), without text; one of very many
+   windows (repetitive text) is cut;
+2. those of copies are dropped: a class of copies (one 128-bit digest) is stood for by its least id;
+3. an aggregation by minimiser (combined on the map side) finds the buckets that two different texts reach; all
    others can hold no shared window and move no text;
-3. one row per different text fetches its text once and packs the strings of those buckets;
-4. buckets are sorted and counted; a bucket above `hot` strings is split into its single windows first, which
+4. each of these texts is fetched once and the strings of those buckets are packed;
+5. buckets are sorted and counted; a bucket above `hot` windows is split into its single windows first, which
    spread over all tasks by their own hash and are joined natively, so no task holds a hot bucket;
-5. only the first window of every longest common span of two texts gives a pair, so a long span gives one.
+6. only the first window of every longest common span of two texts gives a pair, so a long span gives one, and a window
+   that a text repeats is joined once for each character before it.
 
-Exact copies of a text are handled once, through the smallest id, and get their pairs back at the end.
+The members of a class get their pairs back at the end.
 """
 
 from __future__ import annotations
@@ -30,7 +33,9 @@ from pyspark.sql import functions as F
 from ..plans.runtime import materialize, spread, table
 from .codes import code_points, mixed, pieces, rolling, sliding_min
 
-K, M, HOT = 150, 32, 4000
+K, M = 150, 32
+HOT = 400_000  # windows of a bucket that one task sorts
+LONGEST = 4096  # windows of one super-k-mer
 
 
 def super_kmers(codes: np.ndarray, starts: np.ndarray, k: int, m: int) -> tuple[np.ndarray, ...]:
@@ -48,6 +53,11 @@ def super_kmers(codes: np.ndarray, starts: np.ndarray, k: int, m: int) -> tuple[
     ends_here = inside[:n] == 1
     ends_here[: n - 1] &= (inside[1:n] == 0) | (least[1:] != least[:-1])
     at, last = np.flatnonzero(first), np.flatnonzero(ends_here)
+    if len(at) and (last - at).max() >= LONGEST:
+        parts = (last - at) // LONGEST + 1
+        step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        at, last = np.repeat(at, parts) + step * LONGEST, np.repeat(last, parts)
+        last = np.minimum(last, at + LONGEST - 1)
     text = np.searchsorted(starts, at, "right") - 1
     return text, least[at].view(np.int64), (at - starts[text]).astype(np.int32), (last - at + 1).astype(np.int32)
 
@@ -57,8 +67,8 @@ def _scan(k: int, m: int):
         for batch, texts in pieces(batches, "text"):
             text, least, start, windows = super_kmers(*code_points(texts), k, m)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(text)), batch.column(1).take(pa.array(text)), pa.array(least), pa.array(start), pa.array(windows)],
-                names=["id", "td", "mh", "start", "nwin"],
+                [batch.column(0).take(pa.array(text)), pa.array(least), pa.array(start), pa.array(windows)],
+                names=["id", "mh", "start", "nwin"],
             )
 
     return run
@@ -200,33 +210,32 @@ def shared_spans(texts: DataFrame, k: int = K, m: int = M, hot: int = HOT, with_
     Null ids and null texts, and texts shorter than `k`, take part in nothing. Ids are expected to be unique;
     two rows with one id count as one record. No bucket, partner or candidate is ever dropped.
     """
-    long = texts.where(F.col("id").isNotNull() & (F.length("text") >= k)).select("id", F.xxhash64("text", F.length("text")).alias("td"), "text")
-    same = long.groupBy("td").agg(F.min("id").alias("rep"), F.max("id").alias("top"))
-    scanned = materialize(spread(long).mapInArrow(_scan(k, m), "id long, td long, mh long, start int, nwin int"))
-    wanted = (
-        scanned.groupBy("mh").agg(F.min("td").alias("lo"), F.max("td").alias("hi"), F.count(F.lit(1)).alias("n"))
+    long = texts.where(F.col("id").isNotNull() & (F.length("text") >= k)).select("id", "text")
+    digests = materialize(long.select("id", F.unhex(F.md5("text")).alias("td")))
+    same = materialize(digests.groupBy("td").agg(F.min("id").alias("rep"), F.max("id").alias("top")))
+    reps = same.select(F.col("rep").alias("id"))
+    scanned = materialize(spread(long).mapInArrow(_scan(k, m), "id long, mh long, start int, nwin int").join(reps, "id", "left_semi"))
+    wanted = materialize(
+        scanned.groupBy("mh").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("nwin").alias("n"))
         .where("lo < hi").select("mh", (F.col("n") > hot).alias("hot"))
     )
-    lists = (
-        scanned.join(wanted, "mh")
-        .join(same.select(F.col("rep").alias("id")), "id", "left_semi")
-        .groupBy("id").agg(F.collect_list(F.struct("mh", "start", "nwin", "hot")).alias("wanted"))
-    )
+    lists = scanned.join(wanted, "mh").groupBy("id").agg(F.collect_list(F.struct("mh", "start", "nwin", "hot")).alias("wanted"))
     packed = materialize(
-        long.select("id", "text").join(lists, "id").select("id", "text", "wanted")
+        long.join(lists, "id").select("id", "text", "wanted")
         .mapInArrow(_pack(k), "key long, id long, start int, nwin int, before int, packed string, hot boolean")
     )
     cold = packed.where("not hot").repartition("key").sortWithinPartitions("key").mapInArrow(_count(k, with_pairs), "kind string, a long, b long, s int, e int")
     single = packed.where("hot").select("key", "packed", "id", "start", "before")
-    kept = single.groupBy("key", "packed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "packed")
-    single = single.join(kept, ["key", "packed"])
-    a, b = single.alias("a"), single.alias("b")
+    kept = materialize(single.groupBy("key", "packed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "packed"))
+    single = materialize(single.join(kept, ["key", "packed"]))
+    firsts = materialize(single.select("key", "packed", "id", "before").distinct())
+    a, b = firsts.alias("a"), firsts.alias("b")
     hot_pairs = a.join(
         b,
         F.expr("a.key = b.key and a.packed = b.packed and a.id < b.id and (a.before <> b.before or a.before = -1)"),
     ).select(F.lit("pair").alias("kind"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.lit(0).alias("s"), F.lit(0).alias("e"))
     hot_runs = single.select(F.lit("run").alias("kind"), F.col("id").alias("a"), F.col("id").alias("b"), F.col("start").alias("s"), (F.col("start") + k).alias("e"))
-    classes = long.join(same.where("rep < top").select("td", "rep"), "td").select("rep", "id").distinct()
+    classes = digests.join(same.where("rep < top").select("td", "rep"), "td").select("rep", "id").distinct()
     found = cold.unionByName(hot_pairs) if with_pairs else cold
     return materialize(found.unionByName(hot_runs)), classes
 

@@ -56,6 +56,25 @@ def test_pairs_and_shares_equal_brute_force(spark, k, m, hot):
         assert told == shares
 
 
+@pytest.mark.parametrize("hot", [10, 10**9])
+def test_repetitive_texts(spark, hot):
+    """Long runs of one character or pair: few super-k-mers of very many windows, which are cut."""
+    rows = [(1, "=" * 20_000), (2, "x" + "=" * 9_000), (3, "ab" * 5_000), (4, "b" + "ab" * 4_000 + "c"), (5, "=" * 20_000), (6, "y" * 5_000)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = {(1, 2), (1, 5), (2, 5), (3, 4)}
+    assert sorted(tuple(r) for r in spans.span_pairs(df, 150, 32, hot).collect()) == sorted(want)
+    told = {r.id: r.shared_chars for r in spans.span_shares(df, 150, 32, hot).collect()}
+    assert told == {1: 20_000, 2: 9_000, 3: 10_000, 4: 8_001, 5: 20_000, 6: 0}
+    _, _, _, n = spans.super_kmers(*code_points([t for _, t in rows]), 150, 32)
+    assert n.max() <= spans.LONGEST and n.sum() == sum(len(t) - 149 for _, t in rows)
+
+
+def test_many_lines_of_one_sign(spark):
+    df = spark.range(5_000).selectExpr("id", "concat('=', repeat('=', cast(200 + id as int)), cast(id as string)) as text")
+    told = spans.span_shares(df, 150, 32, 1000).where("shared_chars < 201").count()
+    assert told == 0
+
+
 def test_empty_and_none_shared(spark):
     df = spark.createDataFrame([(1, "x" * 10), (2, "y" * 400)], "id long, text string")
     assert spans.span_pairs(df, 20, 5).count() == 0 and spans.span_pairs(df.limit(0), 20, 5).count() == 0
