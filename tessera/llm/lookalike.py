@@ -1,11 +1,12 @@
 """Problem 4: texts that look the same but are written with different characters.
 
-Method: every token's letters have sets of scripts they can be read in (a Cyrillic 'а' also as Latin 'a'). The sets
-of a token are intersected: a token whose letters can all be read in Latin is spelled in Latin, whether it mixes
-scripts or uses look-alike letters throughout; any other token stays in its own script. Remaining forms are brought
-to one: width and presentation forms, composed and decomposed marks and their order, kinds of space, invisible
-characters, and the regional forms of Arabic letters and digits. Case, marks, tatweel and quotation marks are
-visible and stay.
+Method: every token's letters have sets of scripts they can be read in (a Cyrillic 'а' also as Latin 'a', and that as
+Cyrillic). The sets of a token are intersected: it is spelled throughout in the first script that all its letters can
+be read in, whether it mixes scripts (a Latin 'o' in a Cyrillic, Greek, Armenian or Cherokee word too) or uses
+look-alike letters throughout; a token that no one script can spell stays as it is. Remaining forms are brought to one:
+width and presentation forms, letters that are drawn as two others (ligatures, Roman numerals, sara am), composed and
+decomposed marks and their order, kinds of space, invisible characters, and the regional forms of Arabic letters and
+digits. Case, marks, tatweel and quotation marks are visible and stay.
 
 Equal canonical texts meet by a 128-bit digest. Only pairs with at least one text that is not already canonical can
 be cases, so the join's one side is the few changed texts; exact copies are never compared with each other.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -26,16 +28,26 @@ from ..plans.runtime import materialize, spread, table
 from .codes import pieces
 
 # Letters of other scripts that look like a Latin letter, and what they look like.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухԛԝԁһӏ"
-CYRILLIC_AS_LATIN = "ABESIJKMHOPCTYXaesijopcyxqwdhl"
+CYRILLIC = "АВЕЅІЈКМНОРСТУХҮѴԌԚԜаеѕіјорсухѵԛԝԁһӏ"
+CYRILLIC_AS_LATIN = "ABESIJKMHOPCTYXYVGQWaesijopcyxvqwdhl"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳ"
 GREEK_AS_LATIN = "ABEZHIKMNOPTYXovcj"
+ARMENIAN = "ՕՍՏօսհոցզ"
+ARMENIAN_AS_LATIN = "OUSouhngq"
+CHEROKEE = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴ"
+CHEROKEE_AS_LATIN = "DRTAJEWMHGZVSLCPKB"
 # Regional Arabic letters and digits that are drawn like the common ones.
 ARABIC = "یکہھەۀ۰۱۲۳۷۸۹"
 ARABIC_AS_COMMON = "يكهههۀ٠١٢٣٧٨٩"
 
-LATIN_OF = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS_LATIN + GREEK_AS_LATIN))
+#: Scripts in the order in which a token that several can spell takes one, with their letters that look like Latin ones.
+AS_LATIN = {"Latin": {}, "Cyrillic": dict(zip(CYRILLIC, CYRILLIC_AS_LATIN)), "Greek": dict(zip(GREEK, GREEK_AS_LATIN)), "Armenian": dict(zip(ARMENIAN, ARMENIAN_AS_LATIN)), "Cherokee": dict(zip(CHEROKEE, CHEROKEE_AS_LATIN))}
+LATIN_OF = {c: latin for letters in AS_LATIN.values() for c, latin in letters.items()}
+#: For each script, its letter that looks like a Latin one (the first where two do).
+OF_LATIN = {script: {latin: c for c, latin in reversed(letters.items())} for script, letters in AS_LATIN.items()}
 FORMS = ("<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>", "<noBreak>")
+# Ranges of letters and numerals that are drawn like the letters they decompose to.
+DRAWN_AS_TWO = ((0x132, 0x133), (0x1C7, 0x1CC), (0xE33, 0xE33), (0xEB3, 0xEB3), (0x2160, 0x217F), (0xFB00, 0xFB04), (0xFB06, 0xFB06), (0xFB13, 0xFB17))
 
 
 def _invisible(c: str) -> bool:
@@ -56,37 +68,51 @@ def _table() -> dict[int, str | None]:
             plain = unicodedata.normalize("NFKC", c)
             if " " not in plain:
                 out[o] = plain
+    out |= {o: unicodedata.normalize("NFKC", chr(o)) for a, b in DRAWN_AS_TWO for o in range(a, b + 1) if unicodedata.normalize("NFKC", chr(o)) != chr(o)}
     return out | dict(zip(map(ord, ARABIC), ARABIC_AS_COMMON))
 
 
 TABLE = _table()
 ODD = re.compile("[" + re.escape("".join(map(chr, sorted(TABLE)))) + "]")
-FOREIGN = re.compile("[" + "".join(LATIN_OF) + "]")
+FOREIGN = re.compile("[\u0370-\u058f\u13a0-\u13f5\u1f00-\u1fff]")
 TOKEN = re.compile(r"(?:[^\W\d_][\u0300-\u036f]*)+")
-TO_LATIN = str.maketrans(LATIN_OF)
 
 
-def scripts(letter: str) -> frozenset[str]:
-    """The scripts a letter can be read in, as far as look-alikes of Latin go."""
-    if letter in LATIN_OF:
-        return frozenset(("Latin", "Cyrillic" if letter in CYRILLIC else "Greek"))
+def _own(letter: str) -> str:
+    """The script a letter belongs to; empty for modifier letters, which go with any."""
     o = ord(letter)
-    if 0x2B0 <= o < 0x300:  # modifier letters go with any script
-        return frozenset(("Latin", "Greek", "Cyrillic", "other"))
+    if 0x2B0 <= o < 0x300:
+        return ""
     if o < 0x2B0 or 0x1E00 <= o < 0x1F00:
-        return frozenset(("Latin",))
+        return "Latin"
     if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
-        return frozenset(("Greek",))
-    return frozenset(("Cyrillic",)) if 0x400 <= o < 0x530 else frozenset(("other",))
+        return "Greek"
+    if o < 0x530:
+        return "Cyrillic"
+    return "Armenian" if o < 0x590 else "Cherokee" if 0x13A0 <= o < 0x13F6 else "other"
+
+
+@lru_cache(maxsize=4096)
+def scripts(letter: str) -> frozenset[str]:
+    """The scripts a letter can be read in, look-alikes of other scripts included."""
+    own = _own(letter)
+    if not own:
+        return frozenset((*AS_LATIN, "other"))
+    latin = letter if own == "Latin" else AS_LATIN.get(own, {}).get(letter)
+    return frozenset((own, *(s for s in AS_LATIN if latin and (s == "Latin" or latin in OF_LATIN[s]))))
 
 
 def resolved(token: str) -> tuple[str, str]:
     """A token in its consistent spelling, and what it was: `single`, `mixed` (scripts) or `whole` (all look-alikes)."""
-    sets = [scripts(c) for c in token if c.isalpha()]
-    common = frozenset.intersection(*sets) if sets else frozenset()
-    if "Latin" not in common or not FOREIGN.search(token):
+    letters = [c for c in token if c.isalpha()]
+    own = {_own(c) for c in letters} - {""}
+    common = frozenset.intersection(*map(scripts, letters)) if letters else frozenset()
+    script = next((s for s in AS_LATIN if s in common), None)
+    if script is None or own <= {script}:
         return token, "single"
-    return token.translate(TO_LATIN), "mixed" if any(s == {"Latin"} for s in sets) else "whole"
+    latin = (LATIN_OF.get(c, c) for c in token)
+    spelled = "".join(latin) if script == "Latin" else "".join(c if _own(c) in ("", script) else OF_LATIN[script].get(LATIN_OF.get(c, c), c) for c in token)
+    return spelled, "mixed" if len(own) > 1 else "whole"
 
 
 def canonical(text: str) -> str:

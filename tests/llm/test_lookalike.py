@@ -5,9 +5,10 @@ from tessera.llm.lookalike import canonical, lookalike_pairs, normalized, resolv
 SAME = [
     ("paper cat", "раper сat"), ("the gloss", "ｔｈｅ ｇｌｏｓｓ"), ("café élan", "café élan"), ("a b", "a b"), ("a b", "a b"), ("word", "wo​rd﻿"),
     ("soft", "so­ft"), ("scope", "ѕсоре"), ("كتاب في", "ﻛﺘﺎﺏ ﻓﻲ"), ("علي كان", "علی کان"), ("مُدَّ", "مُدَّ"), ("أمر", "أمر"), ("٣٫7", "۳٫7"), ("nūr ʿusīl", "nūr ʿu\u0455\u0456\u0304l"), ("nūr", "nūr"),
-    ("ok? yes", "οk? yes"),
+    ("ok? yes", "οk? yes"), ("\u0441\u043b\u043e\u0432\u043e", "\u0441\u043b\u043e\u0432o"), ("\u03bb\u03cc\u03b3\u03bf\u03c2", "\u03bb\u03cc\u03b3o\u03c2"), ("\u0561\u0580\u0585\u0580", "\u0561\u0580o\u0580"), ("\u13a3\u13aa\u13a4", "\u13a3A\u13a4"),
+    ("\u0436\u043e\u0434", "\u0436\u03bf\u0434"), ("office", "o\ufb03ce"), ("IV part", "\u2163 part"), ("\u0e19\u0e33", "\u0e19\u0e4d\u0e32"), ("CLOVER", "\u13df\u13deO\u13d9E\u13a1"), ("sun", "\u0455\u057d\u0578"),
 ]
-DIFFERENT = [("paper", "Paper"), ("cafe", "café"), ("أمر", "امر"), ("كتب", "كَتَبَ"), ("كتاب", "كتـاب"), ("a b", "ab"), ("at", "bt"), ("мир", "mup"), ("a\nb", "a b"), ("٤", "۴"), ("x²", "x2")]
+DIFFERENT = [("paper", "Paper"), ("cafe", "café"), ("أمر", "امر"), ("كتب", "كَتَبَ"), ("كتاب", "كتـاب"), ("a b", "ab"), ("at", "bt"), ("мир", "mup"), ("a\nb", "a b"), ("\u0436a", "\u0436\u0431"), ("\u017fin", "sin"), ("\u0441\u043b\u043e\u0432\u043e", "\u0421\u043b\u043e\u0432\u043e"), ("٤", "۴"), ("x²", "x2")]
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)
@@ -21,7 +22,7 @@ def test_visible_difference(a, b):
 
 
 def test_tokens():
-    assert resolved("раper")[1] == "mixed" and resolved("ѕсоре")[1] == "whole" and resolved("мир") == ("мир", "single") and resolved("paper")[1] == "single"
+    assert resolved("\u0436oz") == ("\u0436oz", "single") and resolved("раper")[1] == "mixed" and resolved("ѕсоре")[1] == "whole" and resolved("мир") == ("мир", "single") and resolved("paper")[1] == "single"
 
 
 def test_pairs(spark):
