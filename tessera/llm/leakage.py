@@ -7,7 +7,9 @@ the whole m - 1 words. Where the shift is 0, the block selects the bucket of pat
 comparison of all m words confirms.
 
 Items are the stated query set: they are taken in blocks of a documented size, so the tables that travel to the
-executors stay bounded, and every block is searched in all documents. Documents are never shuffled.
+executors stay bounded, and every block is searched in all documents. A block's result is written and its tables are
+given up before the next block is read, so neither the driver nor an executor holds more than one. Documents are never
+shuffled.
 """
 
 from __future__ import annotations
@@ -15,17 +17,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import islice
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import spread, table
+from ..plans.runtime import materialize, spread, table
 
 RUN = 10
-#: Items in one pass; at 60 words each, their tables take about 100 MB of Python memory at most.
-ITEMS_AT_ONCE = 5000
+#: Characters of item text in one pass (and one item more); their tables take about 100 MB of Python memory.
+CHARS_AT_ONCE = 2_000_000
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -110,7 +112,20 @@ def _search(shared):
     return run
 
 
-def leaks(documents: DataFrame, items: DataFrame, n: int = RUN, at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+def _blocks(items: DataFrame, at_once: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, fetched one partition at a time, in blocks of about `at_once` characters."""
+    block, size = [], 0
+    for r in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator():
+        block.append((r.item_id, r.text))
+        size += len(r.text)
+        if size >= at_once:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def leaks(documents: DataFrame, items: DataFrame, n: int = RUN, at_once: int = CHARS_AT_ONCE) -> DataFrame:
     """`documents(doc_id BIGINT, text)`, `items(item_id BIGINT, text)` to (doc_id, item_id): the document has `n`
     consecutive words of the item, or all words of an item of fewer.
 
@@ -118,13 +133,12 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = RUN, at_once: int = I
     """
     spark = documents.sparkSession
     docs = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
-    rows = ((r.item_id, r.text) for r in items.where("item_id is not null and text is not null").select("item_id", "text").toLocalIterator())
-    found = None
-    while block := list(islice(rows, at_once)):
+    found = []
+    for block in _blocks(items, at_once):
         tables = spark.sparkContext.broadcast(matchers(block, n))
-        part = docs.mapInArrow(_search(tables), "doc_id long, item_id long")
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], "doc_id long, item_id long") if found is None else found.distinct()
+        found.append(materialize(docs.mapInArrow(_search(tables), "doc_id long, item_id long")))
+        tables.destroy()
+    return reduce(DataFrame.unionByName, found).distinct() if found else spark.createDataFrame([], "doc_id long, item_id long")
 
 
 def p7_found(spark, folder: str) -> DataFrame:
