@@ -36,13 +36,9 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 def encoding(path: str):
     import tiktoken
 
-    try:
-        from public_tokenizers import PATTERN as pattern
-    except ImportError:
-        pattern = PATTERN
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _count(path: str):
@@ -105,7 +101,8 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
     """`documents(doc_id, source, lang, text)`, `targets(source, target_share, max_repeats)` to (chosen, report).
 
     chosen: (doc_id, source, n_tokens, copies), copies at least 1 and at most the source's max_repeats.
-    report: one row per target with the tokens available, budgeted and taken, and the share reached.
+    report: one row per target with the tokens available, budgeted and taken, and the share reached; `most_total` is the
+    greatest total at which the source can still have its share (null without one), the least of them reaches all targets.
 
     `total` tokens are wanted; unset, as many as the documents of all targets have. The domain is the part of a
     source's name after its last hyphen, its language the one with most tokens. Documents without a source or of no
@@ -121,8 +118,8 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
     rows = goals.limit(MOST_TARGETS + 1).collect()
     if len(rows) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} sources have a target")
-    wanted = [r.source for r in rows]
-    tokens = materialize(counted(documents.where(F.col("source").isin(wanted)), tokenizer).where("n_tokens > 0"))
+    wanted = F.broadcast(spark.createDataFrame([(r.source,) for r in rows], "source string"))  # at most MOST_TARGETS names
+    tokens = materialize(counted(documents.join(wanted, "source", "left_semi"), tokenizer).where("n_tokens > 0"))
     by = tokens.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).groupBy("source").agg(
         F.sum("n").alias("available"), F.max(F.struct("n", "lang")).alias("most")
     )
@@ -156,7 +153,8 @@ def mixture(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER
     report = (
         allotted.join(taken, "source", "left").fillna(0, ["taken", "n_docs", "most_copies"])
         .select(
-            "source", "target_share", "max_repeats", F.col("available").alias("available_tokens"), F.round("budget").cast("long").alias("budget_tokens"),
+            "source", "target_share", "max_repeats", F.col("available").alias("available_tokens"),
+            F.floor(F.try_divide(F.col("available") * F.col("max_repeats"), F.col("target_share"))).alias("most_total"), F.round("budget").cast("long").alias("budget_tokens"),
             F.col("taken").alias("taken_tokens"), "n_docs", "most_copies",
             F.round(F.col("taken") / F.nullif(F.sum("taken").over(all_taken), F.lit(0)), 6).alias("actual_share"),
         )
