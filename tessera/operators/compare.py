@@ -44,9 +44,11 @@ def class_counts(pairs: DataFrame, by: str) -> DataFrame:
 
 def first_differences(pairs: DataFrame, by: str, order: list[str], n: int = 20) -> DataFrame:
     """Of every group the first `n` differing keys in order, with how many differ in all."""
-    w = Window.partitionBy(by)
-    d = pairs.where("a <> b").withColumn("rank", F.row_number().over(w.orderBy(*order)))
-    return d.withColumn("n_differing", F.count(F.lit(1)).over(w)).where(F.col("rank") <= n).select(by, *order, "rank", "n_differing")
+    d = pairs.where("a <> b").select(by, *order)
+    # a rank with a bound alone is applied before the shuffle; the counts are combined on the map side
+    first = d.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
+    n = d.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("n_differing"))
+    return first.join(n, F.col(by).eqNullSafe(F.col("_by"))).select(by, *order, "rank", "n_differing")
 
 
 @F.pandas_udf(DoubleType())

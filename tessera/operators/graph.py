@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sha256, stable_id
+from ..plans.running import greatest_before
 from ..plans.runtime import materialize, table
 
 DEPTH = 128  # fixed value: paths longer than this are refused
@@ -59,15 +60,22 @@ def components(records: DataFrame, key: str, links: DataFrame, most: int = 200)
 
 
 def exact_subset(sizes: list[tuple[str, int]], target: int) -> list[str] | None:
-    """The first-found set of components whose sizes add up to exactly `target`, or None; sums are kept, not subsets."""
-    reached: dict[int, list[str]] = {0: []}
-    for name, size in sizes:
-        for total, names in sorted(reached.items(), reverse=True):
-            if total + size <= target and total + size not in reached:
-                reached[total + size] = [*names, name]
-        if target in reached:
-            return reached[target]
-    return reached.get(target)
+    """Names of components whose sizes add up to exactly `target`, or None. A component list is a driver-side plan.
+
+    Reachable sums are the bits of one integer per component taken so far; the choice is read backwards: a component is
+    in it where the sum could not be reached without it.
+    """
+    steps = [1]
+    for _, size in sizes:
+        steps.append(steps[-1] | (steps[-1] << size) & ((1 << target + 1) - 1))
+    if target < 0 or not steps[-1] >> target & 1:
+        return None
+    chosen, left = [], target
+    for (name, size), before in zip(reversed(sizes), reversed(steps[:-1])):
+        if not before >> left & 1:
+            chosen.append(name)
+            left -= size
+    return chosen[::-1]
 
 
 def topological(nodes: dict[str, list[str]]) -> list[str]:
@@ -94,21 +102,13 @@ def pairs_in_group(spans: DataFrame, group: str, key: str, start: str, end: str)
 def ordered_pairs(left: DataFrame, right: DataFrame, by: str, title: str, at: str) -> DataFrame:
     """(by, left_at, right_at): titles of one work unique on both sides, kept while the right position grows past the last kept.
 
-    The greedy step depends on the last accepted pair, so a work's shared titles are folded in order in one task; a
-    work's table of contents bounds that. Null works and titles pair with nothing.
+    A pair that is kept has the greatest right position so far, so the last kept one is the running maximum, which is
+    found in two levels: a work with a third of all titles is spread. Null works and titles pair with nothing.
     """
     one = lambda df, name: df.where(F.col(title).isNotNull() & F.col(by).isNotNull()).groupBy(by, title).agg(F.min(at).alias(name), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
     met = one(left, "left_at").join(one(right, "right_at"), [by, title]).select(by, F.col("left_at").cast("long").alias("left_at"), F.col("right_at").cast("long").alias("right_at"))
-
-    def fold(pdf):
-        pdf = pdf.sort_values(["left_at", "right_at"])
-        last, kept = None, []
-        for r in pdf["right_at"]:
-            kept.append(last is None or r > last)
-            last = r if kept[-1] else last
-        return pdf[kept]
-
-    return met.groupBy(by).applyInPandas(fold, met.schema)
+    kept = greatest_before(met, by, ["left_at", "right_at"], "right_at", "_last")
+    return kept.where("_last is null or right_at > _last").drop("_last")
 
 
 def evaluate(rules: DataFrame, facts: DataFrame, objections: DataFrame) -> DataFrame:
@@ -234,6 +234,7 @@ QUERIES = {
 _R = "CASE WHEN (publication_enabled <> 1 AND source_id NOT LIKE '%3') OR source_authenticated <> 1 THEN 'NOT_APPLICABLE' WHEN withdrawn_at IS NOT NULL THEN 'BLOCKED_BY_EXCEPTION' WHEN rights_status = 'legal_review_pending' THEN 'BLOCKED_BY_OBJECTION' WHEN source_id LIKE '%3' THEN 'UNDETERMINED' ELSE 'CONDITIONALLY_SUPPORTED' END"
 _OK = "source IS NOT NULL AND sura IS NOT NULL AND aya IS NOT NULL AND text IS NOT NULL"
 SQL = {
+    "ordered_pairs": "WITH RECURSIVE l AS (SELECT source_id, text, min(verse_id) AS l FROM verses WHERE deleted_at IS NULL AND source_id IS NOT NULL AND text IS NOT NULL GROUP BY ALL HAVING count(*) = 1), r AS (SELECT source_id, text, min(entry_id) AS r FROM corpus_entries WHERE source_kind = 'quran' AND source_id IS NOT NULL AND text IS NOT NULL GROUP BY ALL HAVING count(*) = 1), m AS (SELECT source_id, l, r, row_number() OVER (PARTITION BY source_id ORDER BY l) AS i FROM l JOIN r USING (source_id, text)), k AS (SELECT source_id, i, l, r, r AS last, true AS ok FROM m WHERE i = 1 UNION ALL SELECT m.source_id, m.i, m.l, m.r, CASE WHEN m.r > k.last THEN m.r ELSE k.last END, m.r > k.last FROM k JOIN m ON m.source_id = k.source_id AND m.i = k.i + 1) SELECT source_id, l AS left_at, r AS right_at FROM k WHERE ok",
     "closure": "WITH n AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation), l AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer) SELECT src, dst, 1 AS depth FROM n UNION SELECT src, dst, 1 FROM l UNION SELECT l.src, n.dst, 2 FROM l JOIN n ON l.dst = n.src",
     "on_cycle": "WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 30 AS dst FROM nation), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src::BIGINT AS node FROM c WHERE src = dst",
     "components": "WITH RECURSIVE p AS (SELECT doc_id, unnest(string_split(text, chr(10)||chr(10))) AS p FROM documents), l AS (SELECT DISTINCT doc_id, md5(p) AS link FROM p WHERE length(p) >= 40), e AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM l a JOIN l b USING (link) WHERE a.doc_id <> b.doc_id), r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
+from ..plans.running import RANGE_BITS, greatest_before, ranked
 from ..plans.runtime import table
 
 
@@ -20,17 +21,27 @@ def chain_breaks(rows: DataFrame, ledger: str, seq: str, prev: str, digest: str)
 
 
 def islands(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, start, stop, n): maximal half-open ranges of consecutive integers; repeats count once."""
-    w = Window.partitionBy(by).orderBy(value)
-    one = rows.where(F.col(value).isNotNull()).select(by, value).distinct()
-    return one.withColumn("_g", F.col(value) - F.row_number().over(w)).groupBy(by, "_g").agg(
+    """(by, start, stop, n): maximal half-open ranges of consecutive integers; repeats count once.
+
+    Ranges are found inside blocks of numbers first; only those that touch a block's edge, two a block at most, are
+    then joined over the edges.
+    """
+    one = rows.where(F.col(value).isNotNull()).select(by, value).distinct().withColumn("_block", F.shiftright(F.col(value).cast("long"), RANGE_BITS))
+    w = Window.partitionBy(by, "_block").orderBy(value)
+    local = one.withColumn("_g", F.col(value) - F.row_number().over(w)).groupBy(by, "_block", "_g").agg(
         F.min(value).alias("start"), (F.max(value) + 1).alias("stop"), F.count(F.lit(1)).alias("n")
-    ).drop("_g")
+    ).drop("_block", "_g")
+    edge = (F.col("start") % (1 << RANGE_BITS) == 0) | (F.col("stop") % (1 << RANGE_BITS) == 0)
+    order = Window.partitionBy(by).orderBy("start")
+    opens = F.coalesce((F.col("start") != F.lag("stop").over(order)).cast("int"), F.lit(1))
+    joined = local.where(edge).withColumn("_new", opens).withColumn("_i", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = joined.groupBy(by, "_i").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n")).drop("_i")
+    return local.where(~edge).unionByName(whole)
 
 
 def round_robin(slots: DataFrame, by: str, order: str, n: int) -> DataFrame:
     """Adds `lane`: the k-th slot of a group gets lane k mod n."""
-    return slots.withColumn("lane", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) % n)
+    return ranked(slots, by, order, "_k").withColumn("lane", (F.col("_k") - 1) % n).drop("_k")
 
 
 def current_state(decisions: DataFrame, by: str, seq: str, decision: str, full: str, default: str, rejected: str, quarantined: str) -> DataFrame:
@@ -45,8 +56,7 @@ def current_state(decisions: DataFrame, by: str, seq: str, decision: str, full:
 
 def overlaps(spans: DataFrame, by: str, start: str, end: str) -> DataFrame:
     """(by, n_spans, n_overlaps, n_gaps) of spans in order: a span that begins before the furthest end so far, or after it."""
-    w = Window.partitionBy(by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    reach = spans.withColumn("_r", F.max(end).over(w))
+    reach = greatest_before(spans, by, [start, end], end, "_r", bits=6)
     return reach.groupBy(by).agg(F.count(F.lit(1)).alias("n_spans"), F.count_if(F.col("_r") > F.col(start)).alias("n_overlaps"), F.count_if(F.col("_r") < F.col(start)).alias("n_gaps"))
 
 

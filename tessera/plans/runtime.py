@@ -37,6 +37,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     A small table in one file would otherwise keep one core busy; a scan with more pieces passes unchanged.
     """
+    if not hasattr(df, "_jdf"):  # a remote session tells nothing of its pieces
+        return df
     plan = df._jdf.queryExecution()
     if "Exchange" in plan.executedPlan().toString():  # not a scan; asking it for its pieces would run it
         return df
@@ -48,7 +50,7 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir`, or where that is unset one made for this session.
 
-    The fallback is a machine-local folder and meant for local mode and tests only; a cluster names its own.
+    The fallback is a machine-local folder, for local mode and tests only; on a cluster without the setting this raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -56,6 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder they share")
     made = tempfile.mkdtemp(prefix="tessera-")
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return f"file://{made}"

@@ -1,9 +1,9 @@
 """All registered queries of the core and their SQL."""
 
-from .operators import compare, differences, graph, matching, metrics, orphans, quality, scalars, search, segments, sequence
+from .operators import compare, coverage, differences, graph, ledger, matching, metrics, orphans, quality, scalars, search, segments, sequence
 from .sources import files
 from .streaming import quality as streamed
 
-MODULES = [orphans, differences, quality, compare, search, matching, metrics, sequence, segments, graph, scalars, files]
+MODULES = [orphans, differences, quality, compare, search, matching, coverage, metrics, sequence, ledger, segments, graph, scalars, files]
 QUERIES = {k: v for m in [*MODULES, streamed] for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()} | {"stream_quality_counts": quality.SQL["quality_counts"]}
