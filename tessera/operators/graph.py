@@ -194,15 +194,19 @@ def _parts(s, d):
 
 
 def _rules(s, d):
-    src = table(s, d, "corpus_sources")
-    atom = lambda k: F.concat(F.col("source_id"), F.lit(":" + k))
-    clause = lambda k, truth: F.struct(atom(k).alias("atom"), F.lit(truth).alias("truth"))
-    rules = src.select(F.col("source_id").alias("rule_id"), F.array(clause("publication", True), clause("authenticated", True)).alias("if_all"), F.array(clause("withdrawn", True)).alias("unless_any"), clause("citable", True).alias("then"))
-    facts = src.select(atom("publication").alias("atom"), (F.col("publication_enabled") == 1).alias("truth")).where("atom not like '%3:publication'").unionByName(
-        src.select(atom("authenticated").alias("atom"), (F.col("source_authenticated") == 1).alias("truth"))
-    ).unionByName(src.select(atom("withdrawn").alias("atom"), F.col("withdrawn_at").isNotNull().alias("truth")))
-    objections = src.where("rights_status = 'legal_review_pending'").select(F.col("source_id").alias("rule_id"), F.lit("open").alias("status"))
-    return rules, facts, objections
+    """Two rules a verse: equal texts say that both copies are the same, unequal pages that they aren't; not of withdrawn sources."""
+    v = table(s, d, "verses").where("deleted_at is null").groupBy("source_id", "sura", "aya").agg(F.min("text").alias("a"), F.min("page_no").alias("pa"))
+    e = table(s, d, "corpus_entries").where("source_kind = 'quran'").groupBy("source_id", "sura", "aya").agg(F.min("text").alias("b"), F.min("page_no").alias("pb"), F.bool_or(F.col("footnotes") == "").alias("blank"), F.bool_or(F.length("footnotes") > 0).alias("noted"))
+    k = v.join(e, ["source_id", "sura", "aya"], "full_outer").where("source_id is not null and sura is not null and aya is not null")
+    k = k.withColumn("k", F.concat_ws(":", "source_id", F.col("sura").cast("string"), F.col("aya").cast("string")))
+    clause = lambda name, of, truth: F.struct(F.concat(F.lit(name), F.col(of)).alias("atom"), F.lit(truth).alias("truth"))
+    rule = lambda name, fact, truth: k.select(F.concat(F.lit(name), "k").alias("rule_id"), F.array(clause(fact, "k", truth)).alias("if_all"), F.array(clause("withdrawn:", "source_id", True)).alias("unless_any"), clause("same:", "k", truth).alias("then"))
+    fact = lambda name, truth: k.select(F.concat(F.lit(name), "k").alias("atom"), truth.alias("truth"))
+    facts = fact("text:", F.col("a") == F.col("b")).unionByName(fact("page:", F.col("pa") == F.col("pb"))).unionByName(
+        table(s, d, "corpus_sources").select(F.concat(F.lit("withdrawn:"), "source_id").alias("atom"), F.col("withdrawn_at").isNotNull().alias("truth"))
+    )
+    objections = k.where("blank or noted").select(F.concat(F.lit("t:"), "k").alias("rule_id"), F.when(F.col("blank"), "open").otherwise("answered").alias("status"))
+    return rule("t:", "text:", True).unionByName(rule("p:", "page:", False)), facts, objections
 
 
 def _references(s, d):
@@ -220,7 +224,27 @@ def _numbered(s, d):
     return ordered_pairs(v, e, "source_id", "text", "at")
 
 
+def _subset(s, d):
+    """Whether sources can be chosen that hold exactly half of all documents, or a third: sizes are one row a source."""
+    sizes = [(r.source, r.n) for r in table(s, d, "documents").where("source is not null").groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source").collect()]
+    whole = sum(n for _, n in sizes)
+    rows = []
+    for part in (2, 3, 1000):
+        chosen = exact_subset(sizes, whole // part)
+        rows.append((whole // part, chosen is not None, sum(dict(sizes)[x] for x in chosen or [])))
+    return s.createDataFrame(rows, "target long, reachable boolean, total long")
+
+
+def _plan(s, d):
+    """Regions before their nations, as a plan that is ordered on the driver."""
+    pairs = table(s, d, "nation").select("n_name", "n_regionkey").collect()
+    nodes = {f"r{r.n_regionkey}": [] for r in pairs} | {f"n{r.n_name}": [f"r{r.n_regionkey}"] for r in pairs}
+    return s.createDataFrame([(i, x) for i, x in enumerate(topological(nodes), 1)], "place long, node string")
+
+
 QUERIES = {
+    "exact_subset": _subset,
+    "plan_order": _plan,
     "closure": lambda s, d: closure(_edges(s, d)),
     "on_cycle": lambda s, d: on_cycle(_ring(s, d)),
     "components": lambda s, d: components(table(s, d, "documents"), "doc_id", _paragraph_links(s, d)),
@@ -231,16 +255,22 @@ QUERIES = {
     "dangling_references": _references,
     "kind_counts": _kind_counts,
 }
-_R = "CASE WHEN (publication_enabled <> 1 AND source_id NOT LIKE '%3') OR source_authenticated <> 1 THEN 'NOT_APPLICABLE' WHEN withdrawn_at IS NOT NULL THEN 'BLOCKED_BY_EXCEPTION' WHEN rights_status = 'legal_review_pending' THEN 'BLOCKED_BY_OBJECTION' WHEN source_id LIKE '%3' THEN 'UNDETERMINED' ELSE 'CONDITIONALLY_SUPPORTED' END"
+_R = """WITH v AS (SELECT source_id, sura, aya, min(text) AS a, min(page_no) AS pa FROM verses WHERE deleted_at IS NULL GROUP BY ALL), e AS (SELECT source_id, sura, aya, min(text) AS b, min(page_no) AS pb, bool_or(footnotes = '') AS blank FROM corpus_entries WHERE source_kind = 'quran' GROUP BY ALL),
+k AS (SELECT source_id || ':' || sura || ':' || aya AS k, a = b AS text, pa = pb AS page, coalesce(blank, false) AS blank, withdrawn_at, s.source_id IS NOT NULL AS known FROM v FULL JOIN e USING (source_id, sura, aya) LEFT JOIN corpus_sources s USING (source_id) WHERE source_id IS NOT NULL AND sura IS NOT NULL AND aya IS NOT NULL),
+t AS (SELECT k, CASE WHEN NOT text THEN 'NOT_APPLICABLE' WHEN withdrawn_at IS NOT NULL THEN 'BLOCKED_BY_EXCEPTION' WHEN blank THEN 'BLOCKED_BY_OBJECTION' WHEN text IS NULL OR NOT known THEN 'UNDETERMINED' ELSE 'CONDITIONALLY_SUPPORTED' END AS t,
+  CASE WHEN page THEN 'NOT_APPLICABLE' WHEN withdrawn_at IS NOT NULL THEN 'BLOCKED_BY_EXCEPTION' WHEN page IS NULL OR NOT known THEN 'UNDETERMINED' ELSE 'CONDITIONALLY_SUPPORTED' END AS p FROM k)
+"""
 _OK = "source IS NOT NULL AND sura IS NOT NULL AND aya IS NOT NULL AND text IS NOT NULL"
 SQL = {
+    "exact_subset": "WITH RECURSIVE n AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source) AS i FROM documents WHERE source IS NOT NULL GROUP BY source), s AS (SELECT 0::BIGINT AS i, 0::BIGINT AS t UNION SELECT n.i, s.t + x.k * n.n FROM s JOIN n ON n.i = s.i + 1, (VALUES (0), (1)) x(k)), g AS (SELECT (SELECT sum(n) FROM n)::BIGINT // p AS target FROM (VALUES (2), (3), (1000)) v(p)) SELECT target, target IN (SELECT t FROM s) AS reachable, CASE WHEN target IN (SELECT t FROM s) THEN target ELSE 0 END AS total FROM g",
+    "plan_order": "WITH x AS (SELECT DISTINCT 'r' || n_regionkey AS node, 'r' || n_regionkey AS region, 0 AS l FROM nation UNION ALL SELECT 'n' || n_name, 'r' || n_regionkey, 1 FROM nation) SELECT row_number() OVER (ORDER BY region, l, node) AS place, node FROM x",
     "ordered_pairs": "WITH RECURSIVE l AS (SELECT source_id, text, min(verse_id) AS l FROM verses WHERE deleted_at IS NULL AND source_id IS NOT NULL AND text IS NOT NULL GROUP BY ALL HAVING count(*) = 1), r AS (SELECT source_id, text, min(entry_id) AS r FROM corpus_entries WHERE source_kind = 'quran' AND source_id IS NOT NULL AND text IS NOT NULL GROUP BY ALL HAVING count(*) = 1), m AS (SELECT source_id, l, r, row_number() OVER (PARTITION BY source_id ORDER BY l) AS i FROM l JOIN r USING (source_id, text)), k AS (SELECT source_id, i, l, r, r AS last, true AS ok FROM m WHERE i = 1 UNION ALL SELECT m.source_id, m.i, m.l, m.r, CASE WHEN m.r > k.last THEN m.r ELSE k.last END, m.r > k.last FROM k JOIN m ON m.source_id = k.source_id AND m.i = k.i + 1) SELECT source_id, l AS left_at, r AS right_at FROM k WHERE ok",
     "closure": "WITH n AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation), l AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer) SELECT src, dst, 1 AS depth FROM n UNION SELECT src, dst, 1 FROM l UNION SELECT l.src, n.dst, 2 FROM l JOIN n ON l.dst = n.src",
     "on_cycle": "WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 30 AS dst FROM nation), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src) SELECT src::BIGINT AS node FROM c WHERE src = dst",
     "components": "WITH RECURSIVE p AS (SELECT doc_id, unnest(string_split(text, chr(10)||chr(10))) AS p FROM documents), l AS (SELECT DISTINCT doc_id, md5(p) AS link FROM p WHERE length(p) >= 40), e AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM l a JOIN l b USING (link) WHERE a.doc_id <> b.doc_id), r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x) SELECT x AS doc_id, min(y) AS component FROM r GROUP BY x",
     "pairs_in_group": "WITH p AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)||chr(10)), 1) - 1 AS part FROM documents WHERE text IS NOT NULL) SELECT doc_id, a.part AS first, b.part AS second FROM p a JOIN p b USING (doc_id) WHERE a.part < b.part",
-    "rule_status": f"SELECT source_id AS rule_id, {_R} AS status FROM corpus_sources",
-    "rule_conclusions": f"SELECT source_id || ':citable' AS atom, CASE WHEN {_R} = 'CONDITIONALLY_SUPPORTED' THEN 'CONDITIONALLY_SUPPORTED' ELSE 'UNDETERMINED' END AS status, CASE WHEN {_R} = 'CONDITIONALLY_SUPPORTED' THEN true END AS supported_truth FROM corpus_sources",
+    "rule_status": _R + "SELECT 't:' || k AS rule_id, t AS status FROM t UNION ALL SELECT 'p:' || k, p FROM t",
+    "rule_conclusions": _R + "SELECT 'same:' || k AS atom, CASE WHEN t = p AND t = 'CONDITIONALLY_SUPPORTED' THEN 'CONTESTED' WHEN 'CONDITIONALLY_SUPPORTED' IN (t, p) THEN 'CONDITIONALLY_SUPPORTED' ELSE 'UNDETERMINED' END AS status, CASE WHEN t = p THEN NULL WHEN t = 'CONDITIONALLY_SUPPORTED' THEN true WHEN p = 'CONDITIONALLY_SUPPORTED' THEN false END AS supported_truth FROM t",
     "dangling_references": "SELECT 'entry_source' AS rule, count(*) AS n_rows, count(*) FILTER (source_id NOT IN (SELECT source_id FROM corpus_sources)) AS n_dangling FROM corpus_entries WHERE source_id IS NOT NULL UNION ALL SELECT 'verse_source', count(*), count(*) FILTER (source_id NOT IN (SELECT source_id FROM corpus_sources)) FROM verses WHERE source_id IS NOT NULL UNION ALL SELECT 'tafsir_witness', count(*), count(*) FILTER (verse_source NOT IN (SELECT source_id FROM verses WHERE source_id IS NOT NULL)) FROM tafsirs WHERE verse_source IS NOT NULL",
     "kind_counts": f"SELECT 'node' AS what, 'work' AS kind, count(DISTINCT source) AS n FROM tafsirs WHERE {_OK} UNION ALL SELECT 'node', 'verse', count(DISTINCT (verse_source, sura, aya)) FROM tafsirs WHERE {_OK} AND verse_source IS NOT NULL UNION ALL SELECT 'node', 'passage', count(DISTINCT (source, text)) FROM tafsirs WHERE {_OK} UNION ALL SELECT 'edge', 'passage_of', count(DISTINCT (source, text)) FROM tafsirs WHERE {_OK} UNION ALL SELECT 'edge', 'comments_on', count(DISTINCT (source, text, verse_source, sura, aya)) FROM tafsirs WHERE {_OK} AND verse_source IS NOT NULL",
 }

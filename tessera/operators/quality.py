@@ -92,14 +92,26 @@ def redacted(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, sha256(F.col("text")).alias("text_sha256"), F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), F.lit(False).alias("verified"))
 
 
+def heading_numbers(text: Column) -> Column:
+    """The numbers in brackets within the first title, which stands between two `<br>`; empty without one."""
+    parts = F.split(text, "<br>", 3)
+    return F.when(F.size(parts) >= 3, F.regexp_extract_all(parts[1], F.lit(r"\(([0-9]{1,3})\)"), 1)).otherwise(F.array().cast("array<string>"))
+
+
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Rows of markup only beside a verse of the same work whose text names the missing verse's number.
+    """(tafsir_id, n_neighbours, n_named, status) of every record of markup only: do records on the verse before or after
+    it, of the same work, name its number in their heading?
 
-    (tafsir_id, neighbour_id); only the few markup-only rows are joined, on both neighbouring verse numbers.
+    Exactly one does: `ONE_ADJACENT_HEADING_MATCH`, else `AMBIGUOUS_OR_NOT_FOUND`. Only the few markup-only records are
+    joined; the others are reduced to keys and numbers first. Records with a null in their key have no neighbours.
     """
-    empty = rows.where(_flags()["MARKUP_ONLY"]).select("tafsir_id", "source", "verse_source", "sura", F.col("aya").alias("missing"), F.explode(F.array(F.col("aya") - 1, F.col("aya") + 1)).alias("aya"))
-    beside = rows.select("source", "verse_source", "sura", "aya", F.col("tafsir_id").alias("neighbour_id"), F.regexp_extract_all("text", F.lit(r"([0-9]+)"), 1).alias("numbers"))
-    return empty.join(beside, ["source", "verse_source", "sura", "aya"]).where(F.array_contains("numbers", F.col("missing").cast("string"))).select("tafsir_id", "neighbour_id")
+    empty = rows.where(_flags()["MARKUP_ONLY"]).select("tafsir_id", "source", "verse_source", "sura", F.col("aya").alias("missing"))
+    asked = empty.select("*", F.explode(F.array(F.col("missing") - 1, F.col("missing") + 1)).alias("aya")).where("aya >= 1")
+    beside = rows.where("text is not null").select("source", "verse_source", "sura", "aya", heading_numbers(F.col("text")).alias("numbers"))
+    met = asked.join(beside, ["source", "verse_source", "sura", "aya"])
+    n = met.groupBy("tafsir_id").agg(F.count(F.lit(1)).alias("n_neighbours"), F.count_if(F.array_contains("numbers", F.col("missing").cast("string"))).alias("n_named"))
+    status = F.when(F.col("n_named") == 1, "ONE_ADJACENT_HEADING_MATCH").otherwise("AMBIGUOUS_OR_NOT_FOUND")
+    return empty.select("tafsir_id").join(n, "tafsir_id", "left").fillna(0, ["n_neighbours", "n_named"]).withColumn("status", status)
 
 
 def _tafsirs(s, d):
@@ -137,5 +149,7 @@ SQL = {
     "existence": "WITH a AS (SELECT source_id, sura, aya, 1 AS t FROM verses UNION ALL SELECT source_id, sura, aya, 2 FROM corpus_entries UNION ALL SELECT verse_source, sura, aya, 3 FROM tafsirs) SELECT source_id, sura, aya, bool_or(t=1) AS in_verses, bool_or(t=2) AS in_entries, bool_or(t=3) AS in_tafsirs FROM a WHERE source_id IS NOT NULL AND sura IS NOT NULL AND aya IS NOT NULL GROUP BY ALL",
     "safe_text": rf"SELECT lang, count(*) FILTER (length({_V}) > 4000) AS too_long, count(*) FILTER (regexp_matches({_V}, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]')) AS control, count(*) FILTER (regexp_matches({_V}, '[\x{{61c}}\x{{200e}}\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2066}}-\x{{2069}}]')) AS directional, count(*) FILTER (NOT regexp_matches({_V}, '\p{{L}}')) AS no_letter FROM documents GROUP BY lang",
     "redacted": "SELECT tafsir_id, sha256(text) AS text_sha256, length(text) AS n_chars, strlen(text) AS n_bytes, false AS verified FROM tafsirs",
-    "neighbours": f"WITH e AS (SELECT * FROM tafsirs WHERE {_H} AND NOT {_T}) SELECT e.tafsir_id, t.tafsir_id AS neighbour_id FROM e JOIN tafsirs t ON t.source = e.source AND t.verse_source = e.verse_source AND t.sura = e.sura AND abs(t.aya - e.aya) = 1 WHERE list_contains(regexp_extract_all(t.text, '[0-9]+'), e.aya::VARCHAR)",
+    "neighbours": rf"""WITH e AS (SELECT * FROM tafsirs WHERE {_H} AND NOT {_T}), h AS (SELECT *, CASE WHEN len(string_split(text, '<br>')) >= 3 THEN regexp_extract_all(string_split(text, '<br>')[2], '\(([0-9]{{1,3}})\)', 1) ELSE [] END AS numbers FROM tafsirs WHERE text IS NOT NULL),
+m AS (SELECT e.tafsir_id, count(*) AS n, count(*) FILTER (list_contains(numbers, e.aya::VARCHAR)) AS k FROM e JOIN h ON h.source = e.source AND h.verse_source = e.verse_source AND h.sura = e.sura AND abs(h.aya - e.aya) = 1 AND h.aya >= 1 GROUP BY e.tafsir_id)
+SELECT tafsir_id, coalesce(n, 0) AS n_neighbours, coalesce(k, 0) AS n_named, CASE WHEN k = 1 THEN 'ONE_ADJACENT_HEADING_MATCH' ELSE 'AMBIGUOUS_OR_NOT_FOUND' END AS status FROM e LEFT JOIN m USING (tafsir_id)""",
 }

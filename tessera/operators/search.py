@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import QURAN_MARKS, fold_quran_marks
+from ..functions.folds import fold_marks, fold_quran_marks
+from ..functions.offsets import whole_word_places
 from ..functions.spans import explode_spans
 from ..functions.text import sha256
 from ..plans.runtime import table
@@ -77,6 +81,37 @@ def whole_words(texts: DataFrame, key: str, terms: list[str]) -> DataFrame:
     return words.where(F.col("term").isin(terms)).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+def located_terms(texts: DataFrame, key: str, terms: list[str]) -> DataFrame:
+    """(key, term, profile, start_pos, end_pos, byte_start, byte_end, span_sha256) of whole-word places, overlapping ones too.
+
+    A term is looked for as written; only in a text where it nowhere stands so is it looked for without vowel marks
+    (`marks`, three characters at least). Spans are those of the raw text, in code points and in UTF-8 bytes.
+    """
+
+    def places(text: str) -> list[tuple]:
+        out = []
+        for term in terms:
+            profile, spans = whole_word_places(text, term)
+            for a, b in spans:
+                before, piece = text[:a].encode("utf-8", "surrogatepass"), text[a:b].encode("utf-8", "surrogatepass")
+                out.append((term, profile, a, b, len(before), len(before) + len(piece), hashlib.sha256(piece).hexdigest()))
+        return out
+
+    return explode_spans(texts, key, "text", places, "term string, profile string, start_pos int, end_pos int, byte_start int, byte_end int, span_sha256 string")
+
+
+def marker_status(texts: DataFrame, key: str, marker: str) -> DataFrame:
+    """(key, status): `PRESENT`, `NOT_OBSERVED`, or where there is no text to search `NOT_CHECKED`, which is not a no.
+
+    The marker counts as a whole word, with or without vowel marks; its presence says nothing of its role.
+    """
+    bare = lambda c: fold_marks(c)
+    word = rf"(?<![\p{{L}}\p{{N}}_]){re.escape(marker)}(?![\p{{L}}\p{{N}}_])"
+    there = F.col("text").rlike(word) | bare(F.col("text")).rlike(word)
+    return texts.select(key, F.when(F.col("text").isNull(), "NOT_CHECKED").when(there, "PRESENT").otherwise("NOT_OBSERVED").alias("status"))
+
+
+PLACED_TERMS, MARKER = ["gloss", "هامش", "من", "the"], "الشارح"
 LITERALS, TERMS = ["gloss", "ana", "ويسأل", "ı"], ["the", "gloss", "في", "قال", "ve"]
 
 
@@ -95,11 +130,17 @@ QUERIES = {
     "line_index": lambda s, d: line_index(table(s, d, "documents"), "doc_id"),
     "literal_hits": lambda s, d: literal_hits(table(s, d, "documents"), "doc_id", LITERALS),
     "context_frames": lambda s, d: context_frames(table(s, d, "documents"), "doc_id", "gloss"),
+    "located_terms": lambda s, d: located_terms(table(s, d, "tafsirs"), "tafsir_id", PLACED_TERMS),
+    "marker_status": lambda s, d: marker_status(table(s, d, "tafsirs"), "tafsir_id", MARKER),
     "whole_words": lambda s, d: whole_words(table(s, d, "documents"), "doc_id", TERMS),
 }
 _L = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL)"
 _B = _L + ", b AS (SELECT *, sum(strlen(content) + 1) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS e FROM l)"
-_MARKS = "||".join(f"chr({ord(c)})" for c in QURAN_MARKS)
+# the marks spelled out once more, independently of functions.folds
+_MARKS = "||".join(f"chr({o})" for a, b in ((0x610, 0x61A), (0x64B, 0x652), (0x6D6, 0x6DC), (0x6DF, 0x6E4), (0x6E7, 0x6E8), (0x6EA, 0x6ED)) for o in range(a, b + 1))
+_VOWELS = r"[\x{064B}-\x{0652}\x{0656}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]"
+_EDGE = lambda t, a, b: rf"NOT regexp_matches(substr({t}, ({a})::INT, 1) || substr({t}, ({b})::INT + 1, 1), '[\p{{L}}\p{{N}}_]')"
+_ASKED = ", ".join(f"('{x}')" for x in PLACED_TERMS)
 _FIND = "(SELECT '{0}' AS match, verse_id FROM verses WHERE deleted_at IS NULL AND contains({1}, 'من') ORDER BY sura NULLS FIRST, aya NULLS FIRST, source_id NULLS FIRST, verse_id LIMIT 100)"
 SQL = {
     "find_limit": f"SELECT * FROM {_FIND.format('exact', 'text')} UNION ALL SELECT * FROM {_FIND.format('folded', f'translate(text, {_MARKS}, {chr(39) * 2})')}",
@@ -107,5 +148,16 @@ SQL = {
     "line_index": _B + " SELECT doc_id, line, (e - strlen(content))::BIGINT AS byte_start, e::BIGINT AS byte_end, sha256(content) AS line_sha256 FROM b",
     "literal_hits": _L + f", x AS (SELECT *, unnest({LITERALS}) AS literal FROM l), y AS (SELECT *, unnest(range(1, length(content) + 1)) AS p FROM x WHERE contains(content, literal)) SELECT doc_id, literal, line, p - 1 AS char_start, strlen(substr(content, 1, p - 1)) AS byte_start FROM y WHERE substr(content, p, length(literal)) = literal",
     "context_frames": _B + ", f AS (SELECT doc_id, line, content, min(line) OVER w AS from_line, max(line) OVER w AS to_line, min(e - strlen(content)) OVER w AS byte_start, max(e) OVER w AS byte_end FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) SELECT doc_id, line, from_line, to_line, byte_start::BIGINT AS byte_start, byte_end::BIGINT AS byte_end FROM f WHERE contains(content, 'gloss')",
+    "marker_status": rf"SELECT tafsir_id, CASE WHEN text IS NULL THEN 'NOT_CHECKED' WHEN regexp_matches(regexp_replace(text, '{_VOWELS}', '', 'g'), '(^|[^\p{{L}}\p{{N}}_]){MARKER}($|[^\p{{L}}\p{{N}}_])') THEN 'PRESENT' ELSE 'NOT_OBSERVED' END AS status FROM tafsirs",
+    "located_terms": rf"""WITH t AS (SELECT tafsir_id, text, term FROM tafsirs, (VALUES {_ASKED}) v(term) WHERE text IS NOT NULL),
+e AS (SELECT *, unnest(range(0, length(text))) AS a, 'literal_exact_v1' AS profile FROM t WHERE contains(text, term)),
+x AS (SELECT tafsir_id, text, term, profile, a, a + length(term) AS b FROM e WHERE substr(text, a + 1, length(term)) = term AND {_EDGE("text", "a", "a + length(term)")} AND (a > 0 OR true)),
+c AS (SELECT tafsir_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS p FROM tafsirs WHERE text <> ''),
+k AS (SELECT tafsir_id, string_agg(c, '' ORDER BY p) AS bare, list(p ORDER BY p) AS ps FROM c WHERE NOT regexp_matches(c, '{_VOWELS}') GROUP BY tafsir_id),
+m AS (SELECT t.*, bare, ps FROM t JOIN k USING (tafsir_id) WHERE length(term) >= 3 AND contains(bare, term) AND NOT EXISTS (FROM x WHERE x.tafsir_id = t.tafsir_id AND x.term = t.term)),
+n AS (SELECT *, unnest(range(1, length(bare) + 1)) AS f FROM m),
+y AS (SELECT tafsir_id, text, term, 'marks' AS profile, ps[f] AS a, ps[f + length(term) - 1] + 1 AS b FROM n WHERE substr(bare, f, length(term)) = term),
+z AS (SELECT * FROM x UNION ALL SELECT * FROM y WHERE {_EDGE("text", "a", "b")})
+SELECT tafsir_id, term, profile, a::INT AS start_pos, b::INT AS end_pos, strlen(substr(text, 1, a)) AS byte_start, strlen(substr(text, 1, b)) AS byte_end, sha256(substr(text, a + 1, b - a)) AS span_sha256 FROM z""",
     "whole_words": rf"WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]+')) AS term FROM documents) SELECT doc_id, term, count(*) AS n FROM w WHERE term IN {tuple(TERMS)} GROUP BY ALL",
 }

@@ -72,14 +72,14 @@ def _words(s, d):
 
 
 def _long(s, d):
-    v = table(s, d, "verses")
-    parts = {"a": v.where(F.col("source_id").endswith("a")), "b": v.where(F.col("source_id").endswith("b"))}
-    return long_form(parts, ["verse_id"], "text").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    v, e, t = table(s, d, "verses"), table(s, d, "corpus_entries"), table(s, d, "tafsirs")
+    parts = {"verses": v.select(F.col("verse_id").alias("id"), "text"), "entries": e.select(F.col("entry_id").alias("id"), "text"), "notes": e.select(F.col("entry_id").alias("id"), F.col("footnotes").alias("text")), "tafsirs": t.select(F.col("tafsir_id").alias("id"), "text")}
+    return long_form(parts, ["id"], "text").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
 QUERIES = {"manifest_check": _manifest, "joined_words": _words, "long_form": _long}
 SQL = {
     "manifest_check": "WITH v AS (SELECT source_id, sura, aya, min(sha256(text)) AS h FROM verses WHERE deleted_at IS NULL GROUP BY ALL), e AS (SELECT source_id, sura, aya, min(sha256(text)) AS h FROM corpus_entries WHERE source_kind = 'quran' GROUP BY ALL), j AS (SELECT coalesce(v.source_id, e.source_id) AS source_id, CASE WHEN v.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unlisted' WHEN v.h IS DISTINCT FROM e.h THEN 'changed' END AS status FROM (SELECT *, 1 AS k FROM v) v FULL JOIN (SELECT *, 1 AS k FROM e) e ON v.source_id IS NOT DISTINCT FROM e.source_id AND v.sura IS NOT DISTINCT FROM e.sura AND v.aya IS NOT DISTINCT FROM e.aya) SELECT source_id, status, count(*) AS n FROM j WHERE status IS NOT NULL GROUP BY ALL",
     "joined_words": "SELECT verse_id, sha256(text) AS text_sha256 FROM verses WHERE text IS NOT NULL",
-    "long_form": r"SELECT source_id[-1:] AS source, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM verses WHERE source_id[-1:] IN ('a', 'b') AND regexp_matches(text, '[^\s\p{Z}]') GROUP BY ALL",
+    "long_form": r"WITH a AS (SELECT 'verses' AS source, text FROM verses UNION ALL SELECT 'entries', text FROM corpus_entries UNION ALL SELECT 'notes', footnotes FROM corpus_entries UNION ALL SELECT 'tafsirs', text FROM tafsirs) SELECT source, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM a WHERE regexp_matches(text, '[^\s\p{Z}]') GROUP BY ALL",
 }
