@@ -4,6 +4,6 @@ from .operators import bundle, compare, coverage, differences, graph, ledger, ma
 from .sources import files
 from .streaming import quality as streamed
 
-MODULES = [orphans, differences, quality, compare, search, matching, coverage, passages, metrics, sequence, ledger, segments, graph, bundle, scalars, files]
-QUERIES = {k: v for m in [*MODULES, streamed] for k, v in m.QUERIES.items()}
-SQL = {k: v for m in MODULES for k, v in m.SQL.items()} | {"stream_quality_counts": quality.SQL["quality_counts"]}
+MODULES = [orphans, differences, quality, compare, search, matching, coverage, passages, metrics, sequence, ledger, segments, graph, bundle, scalars, files, streamed]
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

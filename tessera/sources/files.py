@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import git_blob_sha1, sha256
-from ..plans.runtime import table
+from ..plans.runtime import shared_dir, table
+from . import pipe_text
 
 
-def pinned_texts(spark: SparkSession, path: str, pins: dict[str, str]) -> DataFrame:
-    """(name, text, blob) of text files whose git object id equals the pinned one; another id or a missing file raises."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("text"))
+def pinned_texts(spark: SparkSession, path: str, pins: dict[str, str], base: str | None = None) -> DataFrame:
+    """(name, text, blob) of text files whose git object id equals the pinned one; another id or a missing file raises.
+
+    A file is named by its last part, or by what follows the folder `base`.
+    """
+    name = F.element_at(F.split("path", "/"), -1) if base is None else F.element_at(F.split("path", re.escape(base.split("/")[-1] + "/"), 2), 2)
+    files = spark.read.format("binaryFile").load(path).select(name.alias("name"), F.decode("content", "UTF-8").alias("text"))
     wanted = spark.createDataFrame(sorted(pins.items()), "name string, pin string")
     got = F.broadcast(wanted).join(files, "name", "left").withColumn("blob", git_blob_sha1(F.col("text")))  # as many rows as pins
     bad = [r.name for r in got.where(~F.col("blob").eqNullSafe(F.col("pin"))).select("name").limit(10).collect()]
@@ -77,8 +84,55 @@ def _long(s, d):
     return long_form(parts, ["id"], "text").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
-QUERIES = {"manifest_check": _manifest, "joined_words": _words, "long_form": _long}
+def _folder(s) -> str:
+    return f"{shared_dir(s)}/tessera/{uuid.uuid4().hex}"
+
+
+def _jsonl(s, d):
+    """Verses written as JSON lines and read back under their schema."""
+    v, at = table(s, d, "verses").select("verse_id", "source_id", "sura", "aya", "text"), _folder(s)
+    write_jsonl(v, at)
+    back = read_jsonl(s, at, "verse_id bigint, source_id string, sura int, aya int, text string")
+    return back.select("verse_id", "source_id", "sura", "aya", sha256(F.col("text")).alias("text_sha256"))
+
+
+def _one_line(s, d):
+    v = table(s, d, "verses").where("deleted_at is null and sura between 0 and 999 and aya between 0 and 999 and text is not null and source_id is not null")
+    return v.groupBy("source_id", "sura", "aya").agg(F.min(F.translate("text", "\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029", "          ")).alias("text"))
+
+
+def _pipe_files(s, d):
+    """Every witness written as one numbered text file in order of its keys, and read back at the `ordered` level."""
+    at = _folder(s)
+    lines = _one_line(s, d).select("source_id", "sura", "aya", F.concat_ws("|", F.col("sura").cast("string"), F.col("aya").cast("string"), "text").alias("value"))
+    lines.repartition("source_id").sortWithinPartitions("source_id", "sura", "aya").select("source_id", "value").write.partitionBy("source_id").text(at)
+    back = pipe_text.read(s, f"{at}/source_id=*/*.txt", "ordered")
+    return back.select(F.regexp_extract("path", "source_id=([^/]*)", 1).alias("source_id"), "sura", "aya", sha256(F.col("text")).alias("text_sha256"))
+
+
+def _pinned(s, d):
+    """Every witness written as one text, pinned by its git object id, and read back under its pin."""
+    at = _folder(s)
+    whole = _one_line(s, d).select("source_id", F.format_string("%04d%04d", "sura", "aya").alias("k"), "text").repartition("source_id").sortWithinPartitions("source_id", "k")
+    whole.select("source_id", "text").write.partitionBy("source_id").text(at)
+    files = s.read.format("binaryFile").load(f"{at}/source_id=*/*.txt").select(F.element_at(F.split("path", at.split("/")[-1] + "/", 2), 2).alias("name"), git_blob_sha1(F.decode("content", "UTF-8")).alias("pin"))
+    pins = {r.name: r.pin for r in files.collect()}  # one row a file
+    return pinned_texts(s, f"{at}/source_id=*/*.txt", pins, at).groupBy().agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def _admitted(s, d):
+    """Entries whose text no verse has yet, each text once."""
+    of = lambda t: table(s, d, t).select(sha256(F.col("text")).alias("digest")).where("digest is not null")
+    return admitted(of("corpus_entries"), of("verses").distinct(), "digest")
+
+
+QUERIES = {"jsonl_roundtrip": _jsonl, "pipe_files": _pipe_files, "pinned_files": _pinned, "admitted": _admitted, "manifest_check": _manifest, "joined_words": _words, "long_form": _long}
+_LINES = r"WITH l AS (SELECT source_id, sura, aya, min(translate(text, chr(10) || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233), '          ')) AS text FROM verses WHERE deleted_at IS NULL AND sura BETWEEN 0 AND 999 AND aya BETWEEN 0 AND 999 AND text IS NOT NULL AND source_id IS NOT NULL GROUP BY ALL)"
 SQL = {
+    "jsonl_roundtrip": "SELECT verse_id, source_id, sura, aya, sha256(text) AS text_sha256 FROM verses",
+    "pipe_files": _LINES + " SELECT source_id, sura, aya, sha256(text) AS text_sha256 FROM l",
+    "pinned_files": _LINES + " SELECT count(DISTINCT source_id) AS n_files, sum(length(text) + 1)::BIGINT AS n_chars FROM l",
+    "admitted": "SELECT DISTINCT sha256(text) AS digest FROM corpus_entries WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM verses WHERE text IS NOT NULL)",
     "manifest_check": "WITH v AS (SELECT source_id, sura, aya, min(sha256(text)) AS h FROM verses WHERE deleted_at IS NULL GROUP BY ALL), e AS (SELECT source_id, sura, aya, min(sha256(text)) AS h FROM corpus_entries WHERE source_kind = 'quran' GROUP BY ALL), j AS (SELECT coalesce(v.source_id, e.source_id) AS source_id, CASE WHEN v.k IS NULL THEN 'missing' WHEN e.k IS NULL THEN 'unlisted' WHEN v.h IS DISTINCT FROM e.h THEN 'changed' END AS status FROM (SELECT *, 1 AS k FROM v) v FULL JOIN (SELECT *, 1 AS k FROM e) e ON v.source_id IS NOT DISTINCT FROM e.source_id AND v.sura IS NOT DISTINCT FROM e.sura AND v.aya IS NOT DISTINCT FROM e.aya) SELECT source_id, status, count(*) AS n FROM j WHERE status IS NOT NULL GROUP BY ALL",
     "joined_words": "SELECT verse_id, sha256(text) AS text_sha256 FROM verses WHERE text IS NOT NULL",
     "long_form": r"WITH a AS (SELECT 'verses' AS source, text FROM verses UNION ALL SELECT 'entries', text FROM corpus_entries UNION ALL SELECT 'notes', footnotes FROM corpus_entries UNION ALL SELECT 'tafsirs', text FROM tafsirs) SELECT source, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM a WHERE regexp_matches(text, '[^\s\p{Z}]') GROUP BY ALL",

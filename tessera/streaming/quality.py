@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.quality import SQL as QUALITY_SQL
 from ..operators.quality import quality_counts
 from ..plans.runtime import shared_dir, table
 from ..sources.files import admitted
@@ -51,4 +52,41 @@ def late_counts(events: DataFrame, at: str, by: str, wait: str = "1 day", width:
     return events.withWatermark(at, wait).groupBy(F.window(at, width), by).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"stream_quality_counts": lambda s, d: counted_so_far(s, d, "tafsirs", "source")}
+def _arrivals(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    path, schema = f"{folder}/{name}.parquet", table(spark, folder, name).schema
+    reader = spark.readStream.schema(schema)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if _is_file(spark, path) else reader.parquet(path)
+
+
+def admitted_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    """(digest): the texts of all documents, admitted as they arrive, and the same arrivals once more, which adds nothing."""
+    out = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
+    spark.createDataFrame([], "digest string").write.parquet(f"{out}/register")
+    for again in ("first", "second"):
+        new = _arrivals(spark, folder, "documents").where("text is not null").select(F.sha2(F.encode("text", "UTF-8"), 256).alias("digest"))
+        admit_stream(new, f"{out}/register", "digest", f"{out}/{again}").awaitTermination()
+    return spark.read.parquet(f"{out}/register")
+
+
+def windows_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    """(hour, event_type, n): events counted per hour and type as they arrive, from the last state."""
+    out = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
+    counts = late_counts(_arrivals(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type")
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n").write.mode("overwrite").parquet(f"{out}/state")
+
+    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/state")
+
+
+QUERIES = {
+    "stream_quality_counts": lambda s, d: counted_so_far(s, d, "tafsirs", "source"),
+    "stream_admitted": admitted_so_far,
+    "stream_windows": windows_so_far,
+}
+SQL = {
+    "stream_quality_counts": QUALITY_SQL["quality_counts"],
+    "stream_admitted": "SELECT DISTINCT sha256(text) AS digest FROM documents WHERE text IS NOT NULL",
+    "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+}
