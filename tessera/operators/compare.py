@@ -18,6 +18,17 @@ CLASSES = [
     "ADDITIONAL_SCRIPT_VARIANTS_CANDIDATE", "UNRESOLVED_SCRIPT_DIFFERENCE",
 ]
 
+TRIAGE = [
+    "EXACT", "UNICODE_CANONICAL_ONLY", "WHITESPACE_ONLY", "COMBINING_MARKS_ONLY_CANDIDATE", "TATWEEL_OR_MARKS_CANDIDATE", "TEXTUAL_REVIEW_REQUIRED",
+]
+WITNESS = [
+    "EXACT_EQUAL", "ARABIC_MARKS_OR_EDITORIAL_BRACKET_DIFFERENCE", "WHITESPACE_DIFFERENCE", "TOKEN_BOUNDARY_DIFFERENCE_CANDIDATE",
+    "TEXTUAL_DIFFERENCE_REQUIRES_REVIEW",
+]
+# The marks and white space that the witness comparison names.
+WITNESS_MARKS = "".join(chr(o) for a, b in ((0x610, 0x61A), (0x64B, 0x65F), (0x670, 0x670), (0x6D6, 0x6ED)) for o in range(a, b + 1))
+WITNESS_SPACE = " \t\n\r\f\v\u00a0"
+
 
 def matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, a, b): the texts of keys on both sides, one row per key (the least text of repeated deliveries)."""
@@ -36,10 +47,33 @@ def classified(pairs: DataFrame) -> DataFrame:
     return p.withColumn("class", ladder.otherwise(CLASSES[-1])).drop("na", "nb")
 
 
-def class_counts(pairs: DataFrame, by: str) -> DataFrame:
-    """Per group the count of every class, zeros included."""
-    got = classified(pairs).groupBy(by).agg(*(F.count_if(F.col("class") == c).alias(c) for c in CLASSES))
-    return got.select(by, F.explode(F.map_from_arrays(F.array(*map(F.lit, CLASSES)), F.array(*CLASSES))).alias("class", "n"))
+def triaged(pairs: DataFrame) -> DataFrame:
+    """Adds `class` of the import triage: like `classified`, but with tatweel as a step of its own and no letter variants."""
+    p = pairs.withColumns({"na": nfc("a"), "nb": nfc("b")})
+    flat = lambda c: F.trim(collapse(c))
+    steps = [lambda c: c, flat, lambda c: markless(flat(c)), lambda c: F.translate(markless(flat(c)), "\u0640", "")]
+    ladder = F.when(F.col("a") == F.col("b"), TRIAGE[0])
+    for name, f in zip(TRIAGE[1:], steps):
+        ladder = ladder.when(f(F.col("na")) == f(F.col("nb")), name)
+    return p.withColumn("class", ladder.otherwise(TRIAGE[-1])).drop("na", "nb")
+
+
+def witnessed(pairs: DataFrame) -> DataFrame:
+    """Adds `class` of the witness comparison: marks and editorial brackets, then spaces, then where words are cut."""
+    base = lambda c: F.translate(c, WITNESS_MARKS + "[]", "")
+    spaced = lambda c: F.trim(F.regexp_replace(F.translate(base(c), WITNESS_SPACE, " " * len(WITNESS_SPACE)), " +", " "))
+    steps = [base, spaced, lambda c: F.translate(base(c), WITNESS_SPACE, "")]
+    ladder = F.when(F.col("a") == F.col("b"), WITNESS[0])
+    for name, f in zip(WITNESS[1:], steps):
+        ladder = ladder.when(f(F.col("a")) == f(F.col("b")), name)
+    return pairs.withColumn("class", ladder.otherwise(WITNESS[-1]))
+
+
+def class_counts(pairs: DataFrame, by: str, ladder=classified, classes: list[str] | None = None) -> DataFrame:
+    """Per group the count of every class of a ladder, zeros included."""
+    classes = classes or CLASSES
+    got = ladder(pairs).groupBy(by).agg(*(F.count_if(F.col("class") == c).alias(c) for c in classes))
+    return got.select(by, F.explode(F.map_from_arrays(F.array(*map(F.lit, classes)), F.array(*classes))).alias("class", "n"))
 
 
 def first_differences(pairs: DataFrame, by: str, order: list[str], n: int = 20) -> DataFrame:
@@ -80,6 +114,8 @@ def _pairs(s, d):
 
 
 QUERIES = {
+    "triage_classes": lambda s, d: class_counts(_pairs(s, d), "source_id", triaged, TRIAGE),
+    "witness_classes": lambda s, d: class_counts(_pairs(s, d), "source_id", witnessed, WITNESS),
     "difference_classes": lambda s, d: class_counts(_pairs(s, d), "source_id"),
     "first_differences": lambda s, d: first_differences(_pairs(s, d), "source_id", ["sura", "aya"]),
     "lowest_similarity": lambda s, d: lowest_similarity(_pairs(s, d), ["source_id", "sura", "aya"]),
@@ -91,7 +127,15 @@ _M = lambda x: _W(rf"regexp_replace({x}, '\p{{M}}', '', 'g')")
 _A = lambda x: f"translate({_M(x)}, 'ٱأإآ', 'اااا')"
 _E = lambda x: _W(f"translate({_A(x)}, 'ىـۥۦ۞۩', 'ي')")
 _PAIR = lambda f: f"{f('nfc_normalize(a)')} = {f('nfc_normalize(b)')}"
+_FLAT = lambda x: _W(f"nfc_normalize({x})")
+_BARE = lambda x: rf"regexp_replace({_FLAT(x)}, '\p{{M}}', '', 'g')"
+_BASE = lambda x: rf"regexp_replace({x}, '[\x{{610}}-\x{{61A}}\x{{64B}}-\x{{65F}}\x{{670}}\x{{6D6}}-\x{{6ED}}\[\]]', '', 'g')"
+_CUT = lambda x, by: rf"regexp_replace({_BASE(x)}, '[ \t\n\r\f\v\x{{A0}}]+', '{by}', 'g')"
+_EQ = lambda f: f"{f('a')} = {f('b')}"
+_EACH = lambda case, classes: _P + f", c AS (SELECT source_id, {case} AS class FROM p) SELECT s.source_id, k.class, count(c.class) AS n FROM (SELECT DISTINCT source_id FROM c) s CROSS JOIN (SELECT unnest({classes}) AS class) k LEFT JOIN c ON c.source_id = s.source_id AND c.class = k.class GROUP BY ALL"
 SQL = {
+    "triage_classes": _EACH(f"CASE WHEN a = b THEN '{TRIAGE[0]}' WHEN nfc_normalize(a) = nfc_normalize(b) THEN '{TRIAGE[1]}' WHEN {_EQ(_FLAT)} THEN '{TRIAGE[2]}' WHEN {_EQ(_BARE)} THEN '{TRIAGE[3]}' WHEN replace({_BARE('a')}, chr(1600), '') = replace({_BARE('b')}, chr(1600), '') THEN '{TRIAGE[4]}' ELSE '{TRIAGE[5]}' END", TRIAGE),
+    "witness_classes": _EACH(f"CASE WHEN a = b THEN '{WITNESS[0]}' WHEN {_EQ(_BASE)} THEN '{WITNESS[1]}' WHEN trim({_CUT('a', ' ')}) = trim({_CUT('b', ' ')}) THEN '{WITNESS[2]}' WHEN {_CUT('a', '')} = {_CUT('b', '')} THEN '{WITNESS[3]}' ELSE '{WITNESS[4]}' END", WITNESS),
     "difference_classes": _P
     + f", c AS (SELECT source_id, CASE WHEN a = b THEN '{CLASSES[0]}' WHEN nfc_normalize(a) = nfc_normalize(b) THEN '{CLASSES[1]}' WHEN {_PAIR(_W)} THEN '{CLASSES[2]}' WHEN {_PAIR(_M)} THEN '{CLASSES[3]}' WHEN {_PAIR(_A)} THEN '{CLASSES[4]}' WHEN {_PAIR(_E)} THEN '{CLASSES[5]}' ELSE '{CLASSES[6]}' END AS class FROM p) "
     + f"SELECT s.source_id, k.class, count(c.class) AS n FROM (SELECT DISTINCT source_id FROM c) s CROSS JOIN (SELECT unnest({CLASSES}) AS class) k LEFT JOIN c ON c.source_id = s.source_id AND c.class = k.class GROUP BY ALL",

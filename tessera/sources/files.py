@@ -6,7 +6,7 @@ import re
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import git_blob_sha1, sha256
@@ -14,13 +14,17 @@ from ..plans.runtime import shared_dir, table
 from . import pipe_text
 
 
+def file_name(base: str | None = None) -> Column:
+    """The last part of a file's path, or what follows the folder `base`."""
+    return F.element_at(F.split("path", "/"), -1) if base is None else F.element_at(F.split("path", re.escape(base.split("/")[-1] + "/"), 2), 2)
+
+
 def pinned_texts(spark: SparkSession, path: str, pins: dict[str, str], base: str | None = None) -> DataFrame:
     """(name, text, blob) of text files whose git object id equals the pinned one; another id or a missing file raises.
 
     A file is named by its last part, or by what follows the folder `base`.
     """
-    name = F.element_at(F.split("path", "/"), -1) if base is None else F.element_at(F.split("path", re.escape(base.split("/")[-1] + "/"), 2), 2)
-    files = spark.read.format("binaryFile").load(path).select(name.alias("name"), F.decode("content", "UTF-8").alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(file_name(base).alias("name"), F.decode("content", "UTF-8").alias("text"))
     wanted = spark.createDataFrame(sorted(pins.items()), "name string, pin string")
     got = F.broadcast(wanted).join(files, "name", "left").withColumn("blob", git_blob_sha1(F.col("text")))  # as many rows as pins
     bad = [r.name for r in got.where(~F.col("blob").eqNullSafe(F.col("pin"))).select("name").limit(10).collect()]
@@ -115,7 +119,7 @@ def _pinned(s, d):
     at = _folder(s)
     whole = _one_line(s, d).select("source_id", F.format_string("%04d%04d", "sura", "aya").alias("k"), "text").repartition("source_id").sortWithinPartitions("source_id", "k")
     whole.select("source_id", "text").write.partitionBy("source_id").text(at)
-    files = s.read.format("binaryFile").load(f"{at}/source_id=*/*.txt").select(F.element_at(F.split("path", at.split("/")[-1] + "/", 2), 2).alias("name"), git_blob_sha1(F.decode("content", "UTF-8")).alias("pin"))
+    files = s.read.format("binaryFile").load(f"{at}/source_id=*/*.txt").select(file_name(at).alias("name"), git_blob_sha1(F.decode("content", "UTF-8")).alias("pin"))
     pins = {r.name: r.pin for r in files.collect()}  # one row a file
     return pinned_texts(s, f"{at}/source_id=*/*.txt", pins, at).groupBy().agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text")).alias("n_chars"))
 
