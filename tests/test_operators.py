@@ -20,8 +20,9 @@ def test_quality_flags_on_dirty_texts(spark, rows):
 
 def test_neighbours(spark, rows):
     s = "tafsir_id long, source string, verse_source string, sura int, aya int, text string"
-    t = spark.createDataFrame([(1, "w", "v", 2, 5, "<br>"), (2, "w", "v", 2, 4, "on 4 and 5"), (3, "w", "v", 2, 6, "on 15"), (4, "u", "v", 2, 4, "5"), (5, "w", "v", None, 5, "<br>")], s)
-    assert rows(quality.neighbours(t)) == [(1, 2)]
+    t = spark.createDataFrame([(1, "w", "v", 2, 5, "<br>"), (2, "w", "v", 2, 4, "a<br>on (4) (5)<br>b"), (3, "w", "v", 2, 6, "(5) a<br>on (15)<br>(5)"), (4, "u", "v", 2, 4, "a<br>(5)<br>"), (5, "w", "v", None, 5, "<br>"), (6, "u", "v", 2, 1, "<p>"), (7, "u", "v", 2, 2, None)], s)
+    assert rows(quality.neighbours(t)) == [(1, 2, 1, "ONE_ADJACENT_HEADING_MATCH"), (5, 0, 0, "AMBIGUOUS_OR_NOT_FOUND"), (6, 0, 0, "AMBIGUOUS_OR_NOT_FOUND")]
+    assert quality.neighbours(t.limit(0)).count() == 0
 
 
 def test_key_coverage_and_existence(spark, rows):
@@ -116,6 +117,10 @@ def test_links_equal_brute_force(spark):
         assert {k: None if v.status == "NO_MATCH" else (v.source, v.block, v.m_pos, v.b_pos) for k, v in got.items()} == want
     none = matching.links(m, b.limit(0), "m", "source", "b", words=4).collect()
     assert {r.status for r in none} == {"SOURCE_UNAVAILABLE"}
+    unknown = b.where("source = 'x'").withColumn("source", F.lit(None).cast("string"))
+    got = {r.m: (r.source, r.block) for r in matching.links(m, b.where("source <> 'x'").unionByName(unknown), "m", "source", "b", words=4).where("status <> 'NO_MATCH'").collect()}
+    rest = brute_links(mentions, [x if x[0] != "x" else ("~", *x[1:]) for x in blocks], 4)  # unknown sources come last
+    assert got == {k: (None if v[0] == "~" else v[0], v[1]) for k, v in rest.items() if v}
 
 
 def test_cutoff_tail(spark):
@@ -199,8 +204,9 @@ def test_chunks_cover_the_text(text):
 
 def test_blocks_and_mentions():
     text = "# head\n" + "x" * 30 + "\n" + "y" * 20 + "\n\nshort\n" + "z" * 50
-    assert [text[a:b] for a, b, _ in segments.block_spans(text)] == ["x" * 30 + "\n" + "y" * 20 + "\n", "short\n" + "z" * 50]
-    assert [where for *_, where in segments.block_spans(text)] == ["L2", "L5"]
+    assert [text[a:b] for a, b, _ in segments.block_spans(text)] == ["# head\n" + "x" * 30 + "\n" + "y" * 20 + "\n", "\nshort\n" + "z" * 50]
+    assert [where for *_, where in segments.block_spans(text)] == ["L1", "L4"] and segments.block_spans("# a\n\n# b\n" * 20) == []
+    assert [x[:2] for x in segments.block_spans("x" * 50 + "\n" + "y" * 60, 40, 100)] == [(0, 51), (51, 111)]
     m = segments.mention_spans("plain AA one two three BB four five six seven", {"A": "AA", "B": "BB", "C": "A one"}, 5, 18)
     assert m == [(6, 23, "A"), (23, 41, "B")]
     assert segments.cue_window("One. Two cue here. Three.", "cue") == [(4, 18, "cue")]
