@@ -243,6 +243,8 @@ def _plan(s, d):
 
 
 QUERIES = {
+    "context_edges": lambda s, d: evidence_graph(table(s, d, "tafsirs"))[1],
+    "ring_closure": lambda s, d: closure(_ring(s, d)),
     "exact_subset": _subset,
     "plan_order": _plan,
     "closure": lambda s, d: closure(_edges(s, d)),
@@ -261,7 +263,10 @@ t AS (SELECT k, CASE WHEN NOT text THEN 'NOT_APPLICABLE' WHEN withdrawn_at IS NO
   CASE WHEN page THEN 'NOT_APPLICABLE' WHEN withdrawn_at IS NOT NULL THEN 'BLOCKED_BY_EXCEPTION' WHEN page IS NULL OR NOT known THEN 'UNDETERMINED' ELSE 'CONDITIONALLY_SUPPORTED' END AS p FROM k)
 """
 _OK = "source IS NOT NULL AND sura IS NOT NULL AND aya IS NOT NULL AND text IS NOT NULL"
+_ID = lambda kind, *parts: f"'{kind}:' || substr(sha256({' || chr(31) || '.join(parts)} || chr(31)), 1, 40)"
 SQL = {
+    "context_edges": f"WITH t AS (SELECT * FROM tafsirs WHERE source IS NOT NULL AND sura IS NOT NULL AND aya IS NOT NULL AND text IS NOT NULL) SELECT DISTINCT 'passage_of' AS kind, {_ID('passage', 'source', 'sha256(text)')} AS src, {_ID('work', 'source')} AS dst FROM t UNION SELECT 'comments_on', {_ID('passage', 'source', 'sha256(text)')}, {_ID('verse', 'verse_source', 'sura', 'aya')} FROM t WHERE verse_source IS NOT NULL",
+    "ring_closure": "WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS src, ((n_nationkey * 7 + 3) % 30)::BIGINT AS dst FROM nation), c AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT c.src, e.dst, c.depth + 1 FROM c JOIN e ON c.dst = e.src WHERE c.src <> c.dst AND c.depth < 40) SELECT src, dst, min(depth) AS depth FROM c GROUP BY src, dst",
     "exact_subset": "WITH RECURSIVE n AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source) AS i FROM documents WHERE source IS NOT NULL GROUP BY source), s AS (SELECT 0::BIGINT AS i, 0::BIGINT AS t UNION SELECT n.i, s.t + x.k * n.n FROM s JOIN n ON n.i = s.i + 1, (VALUES (0), (1)) x(k)), g AS (SELECT (SELECT sum(n) FROM n)::BIGINT // p AS target FROM (VALUES (2), (3), (1000)) v(p)) SELECT target, target IN (SELECT t FROM s) AS reachable, CASE WHEN target IN (SELECT t FROM s) THEN target ELSE 0 END AS total FROM g",
     "plan_order": "WITH x AS (SELECT DISTINCT 'r' || n_regionkey AS node, 'r' || n_regionkey AS region, 0 AS l FROM nation UNION ALL SELECT 'n' || n_name, 'r' || n_regionkey, 1 FROM nation) SELECT row_number() OVER (ORDER BY region, l, node) AS place, node FROM x",
     "ordered_pairs": "WITH RECURSIVE l AS (SELECT source_id, text, min(verse_id) AS l FROM verses WHERE deleted_at IS NULL AND source_id IS NOT NULL AND text IS NOT NULL GROUP BY ALL HAVING count(*) = 1), r AS (SELECT source_id, text, min(entry_id) AS r FROM corpus_entries WHERE source_kind = 'quran' AND source_id IS NOT NULL AND text IS NOT NULL GROUP BY ALL HAVING count(*) = 1), m AS (SELECT source_id, l, r, row_number() OVER (PARTITION BY source_id ORDER BY l) AS i FROM l JOIN r USING (source_id, text)), k AS (SELECT source_id, i, l, r, r AS last, true AS ok FROM m WHERE i = 1 UNION ALL SELECT m.source_id, m.i, m.l, m.r, CASE WHEN m.r > k.last THEN m.r ELSE k.last END, m.r > k.last FROM k JOIN m ON m.source_id = k.source_id AND m.i = k.i + 1) SELECT source_id, l AS left_at, r AS right_at FROM k WHERE ok",

@@ -132,7 +132,8 @@ QUERIES = {
     "strict_timestamps": _stamps,
     "pipe_lines": _pipes,
 }
-_CH = lambda s: "||".join(f"chr({ord(c)})" for c in s)
+# the folds spelled out once more, independently of functions.folds: code points that go, letters that are replaced
+_GONE = lambda ranges, old="", new="": (lambda c: f"translate({c}, '{old}', '{new}')" if old else c)("regexp_replace(text, '[" + "".join("-".join(rf"\x{{{x}}}" for x in r.split("-")) for r in ranges.split()) + "]', '', 'g')")
 _WS = r"regexp_replace({}, '[\s\x{{85}}\p{{Z}}]+', ' ', 'g')"
 _VOWELS = r"[\x{064B}-\x{0652}\x{0656}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]"  # spelled out once more, independently of functions.folds
 _LIT = lambda s: "'" + s.replace("'", "''") + "'"
@@ -145,7 +146,7 @@ SQL = {
     "split_openings": f"WITH v AS (SELECT verse_id, sura, regexp_replace(text, '{_VOWELS}', '', 'g') AS p FROM verses WHERE text IS NOT NULL), o AS (SELECT *, CASE WHEN sura NOT IN (1, 9) THEN CASE {_OPENED} END END AS opening FROM v) SELECT verse_id, opening, md5(CASE WHEN opening IS NULL THEN p ELSE substr(p, length(opening) + 2) END) AS rest_md5 FROM o",
     "cutoff_tails": r"""WITH v AS (SELECT source_id, sura, aya, min(text) AS a FROM verses WHERE deleted_at IS NULL GROUP BY ALL), e AS (SELECT source_id, sura, aya, min(text) AS b FROM corpus_entries WHERE source_kind = 'quran' GROUP BY ALL), j AS (SELECT source_id, sura, aya, regexp_replace(substr(a, 1, (length(a) * 3 / 4)::DOUBLE::INT - CASE WHEN (length(a) * 3 / 4)::DOUBLE::INT > length(a) * 3.0 / 4 THEN 1 ELSE 0 END), '[^\p{L}]', '', 'g') AS t, regexp_replace(b, '[^\p{L}]', '', 'g') AS w FROM v JOIN e USING (source_id, sura, aya) WHERE a IS NOT NULL AND b IS NOT NULL), n AS (SELECT source_id, sura, aya, t, w, max(n) FILTER (length(t) >= n AND contains(w, right(t, n))) AS tail FROM j, (SELECT unnest(range(10, 41)) AS n) GROUP BY ALL) SELECT source_id, sura, aya, tail::INT AS tail, tail IS NOT NULL AND NOT contains(substr(w, instr(w, right(t, tail)) + 1), right(t, tail)) AS "unique", length(w) - (instr(w, right(t, tail)) - 1 + tail) >= 5 AS continues FROM n""",
     "text_ids": "SELECT doc_id, sha1('blob '::BLOB || strlen(text)::VARCHAR::BLOB || '\\x00'::BLOB || encode(text)) AS blob, sha256(text) AS text_sha256, 'p:' || substr(sha256(coalesce(source, '') || chr(31) || text || chr(31)), 1, 32) AS passage_id FROM documents WHERE text IS NOT NULL",
-    "fold_profile": f"SELECT source_id, count(DISTINCT text) AS n_exact, count(DISTINCT {_WS.format(f'translate(text, {chr(39)}أإآىة{chr(39)}||{_CH(folds.HARAKAT)}, {chr(39)}ااايه{chr(39)})')}) AS n_match, count(DISTINCT translate(text, {_CH(folds.QURAN_MARKS)}, '')) AS n_quran, count(DISTINCT trim({_WS.format(f'translate(text, {chr(39)}أإآى{chr(39)}||{_CH(folds.FINGERPRINT_MARKS)}, {chr(39)}اااي{chr(39)})')})) AS n_fingerprint, count(DISTINCT translate(text, {_CH(folds.PLAIN_MARKS)}||'[]', '')) AS n_brackets FROM verses GROUP BY source_id",
+    "fold_profile": rf"SELECT source_id, count(DISTINCT text) AS n_exact, count(DISTINCT {_WS.format(_GONE('64B-65F 670 640', 'أإآىة', 'ااايه'))}) AS n_match, count(DISTINCT {_GONE('610-61A 64B-652 6D6-6DC 6DF-6E4 6E7-6E8 6EA-6ED')}) AS n_quran, count(DISTINCT trim({_WS.format(_GONE('610-61A 64B-65F 670 6D6-6ED 640', 'أإآى', 'اااي'))})) AS n_fingerprint, count(DISTINCT {_GONE('64B-652 656-65F 670 6D6-6ED 5B 5D')}) AS n_brackets FROM verses GROUP BY source_id",
     "json_errors": "SELECT event_type, CASE WHEN coalesce(json_valid(props), false) THEN 'OK' ELSE 'NOT_JSON' END AS result, count(*) AS n FROM events GROUP BY ALL",
     "locators": "SELECT doc_id, coalesce(NOT ends_with(source, 'notes'), true) OR substr(text, 22, 30) = substr(text, 21, 30) AS resolves FROM documents WHERE length(text) > 60",
     "strict_timestamps": "SELECT aya % 3 AS kind, count(*) FILTER (CASE aya % 3 WHEN 0 THEN false WHEN 1 THEN month(loaded_at) IN (1, 3, 5, 7, 8, 10, 12) ELSE true END) AS n_valid, count(*) AS n FROM verses WHERE aya IS NOT NULL GROUP BY ALL",

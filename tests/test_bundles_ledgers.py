@@ -183,6 +183,17 @@ def test_cases_gates_and_safety(spark, rows):
     assert metrics.evidence_ranking(t.limit(0), "id", "source", ["fox"], [], 2).count() == 0
 
 
+def test_fold_tokens(spark):
+    import unicodedata
+
+    from tessera.functions.folds import fold_tokens
+
+    t = spark.createDataFrame([("Ｆｏｘ ﬁn كَتَبـ STRASSE ß",), (None,), ("",)], "t string")
+    got = [r[0] for r in t.select(fold_tokens(F.col("t"))).collect()]
+    want = "".join(c for c in unicodedata.normalize("NFKC", "Ｆｏｘ ﬁn كَتَبـ STRASSE ß") if c != "\u0640" and not unicodedata.combining(c)).casefold()
+    assert got == [want, None, ""]
+
+
 def test_zip_members(spark, rows, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("x/one.txt", "1" * 100_000)
