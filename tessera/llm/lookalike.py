@@ -153,6 +153,19 @@ def lookalike_pairs(texts: DataFrame) -> DataFrame:
     return met.select(F.col("a.grp").alias("grp"), F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
 
 
+def lookalike_classes(texts: DataFrame) -> DataFrame:
+    """`texts(grp STRING, id BIGINT, text STRING)` to (grp, id, class_id, n_texts, n_spellings): every text that looks like
+    another string of its group, with its class (its least id), how many texts look so and in how many spellings.
+
+    One row a text however large a class is: the classes are counted with map-side combination and joined back.
+    """
+    usable = texts.where("grp is not null and id is not null and text is not null").select("grp", "id", "text")
+    marked = materialize(spread(usable).mapInArrow(_digest, "grp string, id long, look binary, exact long, changed boolean").where("look is not null"))
+    spelled = marked.groupBy("grp", "look", "exact").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+    classes = spelled.groupBy("grp", "look").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_texts"), F.count(F.lit(1)).alias("n_spellings")).where("n_spellings > 1")
+    return marked.join(materialize(classes), ["grp", "look"]).select("grp", "id", "class_id", "n_texts", "n_spellings")
+
+
 def _normalize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in pieces(batches, "text"):
         odd = [len(ODD.findall(t)) for t in texts]
@@ -177,11 +190,20 @@ def normalized(texts: DataFrame) -> DataFrame:
     )
 
 
-def p4_found(spark, folder: str) -> DataFrame:
+def _both(spark, folder: str) -> DataFrame:
     verses = table(spark, folder, "verses").where("sura is not null and aya is not null")
-    both = verses.select(F.concat_ws(":", F.lit("v"), "sura", "aya").alias("grp"), F.col("verse_id").alias("id"), "text").unionByName(
+    return verses.select(F.concat_ws(":", F.lit("v"), "sura", "aya").alias("grp"), F.col("verse_id").alias("id"), "text").unionByName(
         table(spark, folder, "tafsirs").select(F.lit("t").alias("grp"), F.col("tafsir_id").alias("id"), "text")
     )
-    return lookalike_pairs(both).select(
-        F.when(F.col("grp") == "t", "tafsirs").otherwise("verses").alias("table_name"), "id_a", "id_b"
-    )
+
+
+def _table_name():
+    return F.when(F.col("grp") == "t", "tafsirs").otherwise("verses").alias("table_name")
+
+
+def p4_found(spark, folder: str) -> DataFrame:
+    return lookalike_pairs(_both(spark, folder)).select(_table_name(), "id_a", "id_b")
+
+
+def p4_classes(spark, folder: str) -> DataFrame:
+    return lookalike_classes(_both(spark, folder)).select(_table_name(), "id", "class_id", "n_texts", "n_spellings")

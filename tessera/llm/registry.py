@@ -4,8 +4,10 @@ from . import leakage, lookalike, mixing, sentences, spam, spans, truncation
 
 QUERIES = {
     "p1_found": spans.p1_found,
+    "p1_links": spans.p1_links,
     "p1_shares": spans.p1_shares,
     "p4_found": lookalike.p4_found,
+    "p4_classes": lookalike.p4_classes,
     "p5_found": truncation.p5_found,
     "p5_rates": truncation.p5_rates,
     "p6_found": sentences.p6_found,
@@ -23,6 +25,9 @@ s AS (SELECT DISTINCT tafsir_id, p, h FROM w JOIN g USING (h))
 """
 SQL: dict[str, str] = {
     "p1_found": _WINDOWS + "SELECT DISTINCT a.tafsir_id AS id_a, b.tafsir_id AS id_b FROM s a JOIN s b ON a.h = b.h AND a.tafsir_id < b.tafsir_id",
+    "p1_links": _WINDOWS + """, c AS (SELECT min(tafsir_id) AS rep, list(tafsir_id) AS ids FROM t WHERE n >= 150 GROUP BY text)
+SELECT DISTINCT 'pair' AS kind, least(a.tafsir_id, b.tafsir_id) AS id_a, greatest(a.tafsir_id, b.tafsir_id) AS id_b FROM s a JOIN s b ON a.h = b.h AND a.tafsir_id < b.tafsir_id JOIN c x ON x.rep = a.tafsir_id JOIN c y ON y.rep = b.tafsir_id
+UNION ALL SELECT 'member', rep, id FROM (SELECT rep, unnest(ids) AS id FROM c) WHERE id <> rep""",
     "p1_shares": _WINDOWS
     + """, e AS (SELECT tafsir_id, p, max(p + 150) OVER (PARTITION BY tafsir_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
 c AS (SELECT tafsir_id, sum(150 - greatest(0, coalesce(reach, 0) - p)) AS shared, count(*) FILTER (reach IS NULL OR p > reach) AS runs FROM e GROUP BY tafsir_id)

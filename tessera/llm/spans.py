@@ -255,6 +255,16 @@ def span_pairs(texts: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> Data
     return pairs.unionByName(within).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
 
 
+def span_links(texts: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
+    """(kind, id_a, id_b): `pair` for two class representatives that share a span, `member` for a representative and each copy.
+
+    The pairs of `span_pairs` without copies expanded: a class of any size is one row a member.
+    """
+    found, classes = shared_spans(texts, k, m, hot)
+    pairs = found.where("kind = 'pair'").select("kind", F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct()
+    return pairs.unionByName(classes.where("rep <> id").select(F.lit("member").alias("kind"), F.col("rep").alias("id_a"), F.col("id").alias("id_b")))
+
+
 def span_shares(texts: DataFrame, k: int = K, m: int = M, hot: int = HOT) -> DataFrame:
     """(id, n_chars, shared_chars, n_runs): of every record with a text, how much stands in other records too.
 
@@ -286,5 +296,9 @@ def p1_found(spark, folder: str) -> DataFrame:
     return span_pairs(table(spark, folder, "tafsirs").select(F.col("tafsir_id").alias("id"), "text"))
 
 
+def p1_links(spark, folder: str) -> DataFrame:
+    return span_links(table(spark, folder, "tafsirs").select(F.col("tafsir_id").alias("id"), "text"))
+
+
 def p1_shares(spark, folder: str) -> DataFrame:
     return span_shares(table(spark, folder, "tafsirs").select(F.col("tafsir_id").alias("id"), "text")).withColumnRenamed("id", "tafsir_id")

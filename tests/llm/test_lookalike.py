@@ -37,3 +37,13 @@ def test_pairs(spark):
 
 def test_long_text():
     assert canonical("ｘ​" * 100_000) == "x" * 100_000
+
+
+def test_classes(spark):
+    rows = [("g", i, t) for i, t in enumerate(["paper", "pаper", "paper", "ｐaper", "other", "other", None, " "])] + [("h", 20, "pаper"), (None, 21, "paper"), ("g", None, "pаper")]
+    from tessera.llm.lookalike import lookalike_classes
+
+    df = spark.createDataFrame([(*r, "x") for r in rows], "grp string, id long, text string, look string")
+    got = sorted(tuple(r) for r in lookalike_classes(df).collect())
+    assert got == [("g", i, 0, 4, 3) for i in range(4)]
+    assert lookalike_classes(df.limit(0)).count() == 0

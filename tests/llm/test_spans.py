@@ -54,6 +54,11 @@ def test_pairs_and_shares_equal_brute_force(spark, k, m, hot):
         assert sorted(got) == sorted(pairs)  # each once
         told = {r.id: (r.n_chars, r.shared_chars) for r in spans.span_shares(df, k, m, hot).collect()}
         assert told == shares
+        links = spans.span_links(df, k, m, hot).collect()
+        of = {r.id_b: r.id_a for r in links if r.kind == "member"}
+        same = {(a, b) for a in shares for b in shares if a < b and of.get(a, a) == of.get(b, b)}
+        met = {(r.id_a, r.id_b) for r in links if r.kind == "pair"}
+        assert same | {(a, b) for a in shares for b in shares if a < b and tuple(sorted((of.get(a, a), of.get(b, b)))) in met} == pairs
 
 
 @pytest.mark.parametrize("hot", [10, 10**9])
