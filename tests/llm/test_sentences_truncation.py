@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,6 +35,47 @@ def test_units(text):
     assert [text[a:b] for a, b in units(text)] == CASES[text]
 
 
+def best_by_brute_force(text, low, high, cuts, inside):
+    """The greatest total over all choices of ends, with the module's weights."""
+    from itertools import combinations
+
+    from tessera.llm import sentences as m
+
+    def total(chosen):
+        marks = [(None, low, 0.0, 0), *(cuts[i] for i in chosen), (high, high, 0.0, 0)]
+        held = [False, *(inside[i] for i in chosen), False]
+        out = 0.0
+        for k in range(1, len(marks)):
+            n = marks[k][0] - marks[k - 1][1]
+            out += marks[k][2] + (m.INSIDE if held[k] or held[k - 1] else 0) + (m.TOO_SHORT if n < m.SHORT else 0) + (m.TOO_LONG if n > m.LONG else 0)
+        return out
+
+    choices = [c for k in range(len(cuts) + 1) for c in combinations(range(len(cuts)), k)]
+    return max(map(total, choices)), total
+
+
+def test_programme_finds_the_best_total(monkeypatch):
+    import random
+
+    from tessera.llm import sentences as m
+
+    monkeypatch.setattr(m, "LONG", 12)
+    r = random.Random(9)
+    for _ in range(400):
+        at, cuts = 0, []
+        for _ in range(r.randint(1, 7)):
+            end = at + r.randint(1, 9)
+            at = end + 1
+            cuts.append((end, at, r.choice([1.5, 1.5, 0.25, -6.0, -0.5]), end))
+        high = at + r.randint(1, 9)
+        inside = [r.random() < 0.3 for _ in cuts]
+        out = []
+        m._programme(0, high, -1, cuts, inside if True in inside else None, out)
+        most, total = best_by_brute_force("", 0, high, cuts, inside)
+        ends = {c[0]: i for i, c in enumerate(cuts)}
+        assert total([ends[e] for _, e, _ in out[:-1]]) == pytest.approx(most) and out[0][0] == 0 and out[-1][1] == high
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet='Aa b.!?"«»()<br>\n1ก。', max_size=120))
 def test_units_are_ordered_trimmed_and_lose_no_letter(text):
@@ -48,6 +91,12 @@ def test_units_are_ordered_trimmed_and_lose_no_letter(text):
 def test_long_line_is_fast():
     text = 'He said: "word. ' * 20_000
     assert units("A b c. " * 50_000)[-1][1] == 7 * 50_000 - 1
+    began = time.perf_counter()
+    assert len(units('He said "' + "Word here. " * 20_000)) == 20_000  # a quotation that is never closed
+    assert units('He said "' + "Word here. " * 20 + '"')[0][0] == 0 and len(units('He said "' + "Word here. " * 20 + '"')) == 1
+    assert len(units('He said "' + "Word here. " * 20_000 + '" she left.')) > 1  # too long to be held together
+    units("cf. p. 5. " * 20_000)
+    assert time.perf_counter() - began < 10
     assert units(text)
 
 
@@ -72,9 +121,10 @@ def training(n=400):
 
 COMPLETE = [
     "River stone under. Garden letter!", 'He said: "River stone?"', "Chapter 12", "River stone.\n— cedar, 40", "River stone under<br>", "River stone\n", "1. river\n2. stone\n3. garden", "River letter etc.", "(River stone.)", "", "<br>",
-    "River stone. ", "River stone.\n[cedar 15/2]",
+    "River stone. ", "River stone.\n[cedar 15/2]", "River stone under\u2028", "<p>River stone under<br></p>", "<p>River stone.</p>", "<p>River stone.<br>\u2014 cedar, 40</p>", "River stone \u00ab under.\u00a0\u00bb ",
 ]
 CUT = ["River stone. Garden lett", "River stone. Garden letter…", "River stone, gard...", "River stone. Garden l�", 'River. He said: "Garden stone.', "River stone,", "River stone cf.", "River stone:", "1. River stone.\n2. Garden under."[:-7], "(River stone under", "River of A."]
+CUT += ["River stone. Garden lett ", "River stone. Garden under \u200b", "<p>River stone. Garden letter si</p>", "<p>River stone. Garden letter si </p> ", "River stone. Garden…</p>", "<p>River stone.</p><p>Garden, letter\u00a0</p>"]
 
 
 def test_truncation_against_held_out_cases(spark):
