@@ -9,9 +9,9 @@ letters, every space) may end a unit. The programme selects whole spans; the sco
 - balance: whether it begins or ends inside a quotation or a pair of brackets that the line closes later,
 - length: whether it is too short to be one, or longer than sentences are,
 
-with the weights below. No candidate is decided before the programme runs. A predecessor matters only through its
-score, whether it lies inside a quotation and its length class, so the best one of each class is kept in a window and
-the programme is linear in the length of the line.
+with the weights below. No candidate is decided before the programme runs. The starts that a span can have are tried
+from its end back and only while an earlier one can still be better, at most LONG characters, so the programme is
+linear in the length of the line.
 
 Everything is one pass over the texts in Arrow batches; nothing is shuffled.
 """
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +55,7 @@ CLOSING = frozenset("etc usw vb a.h p.m a.m a.d b.c وغيره इत्या
 WORDS_OF_ONE = frozenset("aoeyàıi")
 
 HIDDEN = "\u200b-\u200f\u2060\ufeff\u061c\u00ad"
+HIDDEN_ONES = "".join(map(chr, (*range(0x200B, 0x2010), 0x2060, 0xFEFF, 0x61C, 0xAD)))
 BREAK = re.compile(r"[\n\r\u2028\u2029]|<(?:br\s*/?|/?p)>", re.I)
 CANDIDATE = re.compile(
     rf"([.!?؟۔。！？।॥…]+)((?:[{HIDDEN}]*[\"”»“«’'\)\]」』）】》]|[ \u00a0\u202f]»(?![^\s<,.;:!?…]))*)([\s{HIDDEN}]*)"
@@ -210,48 +210,50 @@ def _line(text: str, low: int, high: int, thai: bool, out: list[tuple[int, int,
         out.append((low, high, last))
         return
     flat = _enclosed(text, low, high) if QUOTED.search(text, low, high) else []
-    inside = [bisect_left(flat, c[0]) % 2 == 1 for c in cuts] if flat else None
+    inside = [bisect_left(flat, c[0]) % 2 == 1 for c in cuts] if flat else []
+    inside = inside if True in inside else None
     _programme(low, high, last, cuts, inside, out)
 
 
 def _programme(begin: int, high: int, last: int, cuts: list[tuple[int, int, float, int]], inside: list[bool] | None, out: list[tuple[int, int, int]]) -> None:
-    """The spans of the best total score, appended to `out`; of equal totals the one with fewer ends."""
+    """The spans of the best total score, appended to `out`.
+
+    For every end the starts before it are tried from the nearest back, until no earlier one can be better: the best
+    total so far bounds them all, and those more than LONG characters away differ in that total alone.
+    """
     first = [begin, *(c[1] for c in cuts)]
-    ends = [*(c[0] for c in cuts), high]
-    held = [False, *(inside or [False] * len(cuts)), False]  # whether boundary i lies inside a quotation
+    held = [False, *inside, False] if inside else None
     best, back = [0.0], []
-    # the best predecessor of ordinary length for a span that ends outside (0) and inside (1), and of too long spans
-    window: tuple[deque, deque] = (deque(), deque())
-    far: list[tuple[float, int]] = [(float("-inf"), 0)] * 2
-    kinds = (0, 1) if inside and any(inside) else (0,)
-    entered = 0
-    for j, end in enumerate(ends):
-        while entered <= j and first[entered] <= end - SHORT:
-            for kind in kinds:
-                value = best[entered] + (INSIDE if kind or held[entered] else 0.0)
-                while window[kind] and window[kind][-1][0] < value:
-                    window[kind].pop()
-                window[kind].append((value, entered))
-            entered += 1
-        kind = 1 if held[j + 1] else 0
-        for k in kinds:
-            while window[k] and first[window[k][0][1]] < end - LONG:
-                value, i = window[k].popleft()
-                if value + TOO_LONG > far[k][0]:
-                    far[k] = (value + TOO_LONG, i)
-        top = far[kind]
-        if window[kind] and (window[kind][0][0] > top[0] or window[kind][0][0] == top[0] and window[kind][0][1] < top[1]):
-            top = window[kind][0]
-        for i in range(entered, j + 1):  # the few that make a span of less than SHORT characters
-            value = best[i] + (INSIDE if kind or held[i] else 0.0) + TOO_SHORT
-            if value > top[0]:
-                top = (value, i)
-        best.append(top[0] + (cuts[j][2] if j < len(cuts) else 0.0))
-        back.append(top[1])
-    spans, j = [], len(ends)
+    bound, by = [0.0], [0]  # the greatest total up to each start, and where it is
+    lose, of = (bound, by) if held is None else ([0.0], [0])  # the same for a span that begins at the start and ends outside
+    for j, cut in enumerate([*cuts, (high, high, 0.0, last)]):
+        end, i, top, who = cut[0], j, float("-inf"), 0
+        shut = held is not None and held[j + 1]
+        least, most, at = (bound, INSIDE, by) if shut else (lose, 0.0, of)
+        while i >= 0 and top <= least[i] + most:
+            if first[i] < end - LONG:
+                if least[i] + most + TOO_LONG >= top:
+                    top, who = least[i] + most + TOO_LONG, at[i]
+                break
+            value = best[i] + (INSIDE if shut or held is not None and held[i] else 0.0) + (TOO_SHORT if end - first[i] < SHORT else 0.0)
+            if value >= top:  # of equal totals the one with fewer ends
+                top, who = value, i
+            i -= 1
+        back.append(who)
+        total = top + cut[2]
+        best.append(total)
+        i = total > bound[-1]
+        bound.append(total if i else bound[-1])
+        by.append(j + 1 if i else by[-1])
+        if held is not None:
+            value = total + (INSIDE if shut else 0.0)
+            i = value > lose[-1]
+            lose.append(value if i else lose[-1])
+            of.append(j + 1 if i else of[-1])
+    j, spans = len(back), []
     while j:
         i = back[j - 1]
-        spans.append((first[i], ends[j - 1], cuts[j - 1][3] if j <= len(cuts) else last))
+        spans.append((first[i], cuts[j - 1][0] if j <= len(cuts) else high, cuts[j - 1][3] if j <= len(cuts) else last))
         j = i
     out.extend(reversed(spans))
 
