@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..plans.runtime import materialize, spread, table
 from .codes import code_points, mixed, pieces, rolling
 from .lookalike import canonical
-from .sentences import BREAK, CLOSING, HIDDEN, NEVER, THAI, WORDS_OF_ONE, _before, _depth, marked_units
+from .sentences import BREAK, CLOSING, HIDDEN, HIDDEN_ONES, NEVER, QUOTED, THAI, WORDS_OF_ONE, _before, _depth, marked_units
 
 ORDERS = (1, 2, 3, 4, 5)
 PAD = max(ORDERS)
@@ -52,6 +52,7 @@ ENDED = re.compile(rf"([.!?؟۔。！？।॥]+)((?:[{HIDDEN}]*[\"”»“«’
 QUOTED_END = re.compile(rf"([!?؟۔。！？।॥]|(?<!\.)\.)(?=[{HIDDEN}]*[\"”»“«」』])")
 
 
+SPACED = HIDDEN_ONES + " \u00a0\t"
 MARKS = np.array([ord(c) for c in ".!?؟۔。！？।॥…"], np.uint32)
 
 
@@ -78,18 +79,19 @@ def last_line(text: str) -> str:
 
 def structure(text: str) -> tuple[str, str]:
     """(`complete`, `cut` or `ask` the model; the text up to where it breaks off)."""
-    if not re.sub(r"<[^>]*>", "", text).strip():
-        return "complete", text
     body = text.rstrip()
+    tagged = body.endswith(">")
+    if not body or tagged and body.lstrip()[0] == "<" and not re.sub(r"<[^>]*>", "", text).strip():
+        return "complete", text
     if body.endswith("\ufffd"):
         return "cut", body
-    rest = PUT_AFTER.sub("", body)
+    rest = PUT_AFTER.sub("", body) if body.rstrip(SPACED)[-1:] in "….]" else body
     marked = rest != body
-    if not marked and (CLOSED.search(text) or CLOSED.search(PARAGRAPH.sub("", text))):
+    if not marked and (CLOSED.search(text) or tagged and CLOSED.search(PARAGRAPH.sub("", text))):
         return "complete", text
-    while (m := TAGS.search(rest)) is not None:
+    while rest.endswith(">") and (m := TAGS.search(rest)) is not None:
         rest = rest[: m.start()].rstrip()
-    rest = rest.rstrip(HIDDEN.replace("-", "") + "\u200c\u200d\u200e \u00a0\t")
+    rest = rest.rstrip(SPACED)
     line = last_line(rest)
     if not line:
         return "complete", rest
@@ -105,10 +107,11 @@ def structure(text: str) -> tuple[str, str]:
             return "complete", rest
     if THAI.match(rest[-1]):
         return "ask", rest
-    start, stop, _ = marked_units(line)[-1]
-    q, b = _depth(line[start:stop])
-    if q or b:
-        return "cut", rest
+    if QUOTED.search(line):
+        start, stop, _ = marked_units(line)[-1]
+        q, b = _depth(line[start:stop])
+        if q or b:
+            return "cut", rest
     if end and end[1] in (".", "۔") and not end[2]:
         token = _before(line, 0, end.start())
         token = token if token.isascii() else canonical(token)
