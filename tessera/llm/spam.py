@@ -14,7 +14,8 @@ replicated, and between them the more lists the fewer replicated phrases are nee
 
 Pages with one text count as one, so that a copy of an honest page, all of whose phrases stand on other hosts, is not
 taken for a stitched one. Phrases are pre-aggregated on the map side, so one that a third of all pages share costs one
-row per task. A page's phrases go to the join only where a bitmap of fixed size doesn't rule out that they are replicated.
+row per task. A page's phrases go to the join, and their hosts are looked at, only where a bitmap of fixed size doesn't
+rule out that they stand in enough texts.
 """
 
 from __future__ import annotations
@@ -188,17 +189,18 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _possible(shared):
-    """The phrases of each page that may be replicated."""
+    """The phrases of each page that may stand in enough texts, with the page's hosts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: np.ndarray = shared.value
         for batch in batches:
-            column = batch.column(1)
+            column = batch.column(3)
             phrase = column.flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
             slot = phrase & (SLOTS - 1)
             keep = (words[slot >> 6] >> (slot & 63)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[keep])), pa.array(phrase[keep])], names=["digest", "phrase"])
+            of = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(3)), pa.array(phrase[keep])], names=["digest", "low", "high", "phrase"])
 
     return run
 
@@ -236,12 +238,14 @@ def scored(documents: DataFrame, most: int = BROADCAST_TEXTS) -> DataFrame:
         (texts if once is None else once.unionByName(texts))
         .mapInArrow(_pages, "digest binary, low long, high long, n_words double, n_listed double, n_bad double, phrases array<long>")
     )
-    each = judged.select("low", "high", F.explode("phrases").alias("phrase"))
-    counted = each.groupBy("phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count(F.lit(1)).alias("n"))
-    wide = materialize(counted.where((F.col("low") != F.col("high")) & (F.col("n") >= TEXTS)).select("phrase"))
-    bits = documents.sparkSession.sparkContext.broadcast(_bitmap(wide))
-    possible = judged.select("digest", "phrases").mapInArrow(_possible(bits), "digest binary, phrase long")
-    hits = possible.join(wide, "phrase").groupBy("digest").agg(F.count(F.lit(1)).alias("n_replicated"))
+    # texts are counted for every phrase, hosts only for those in enough texts
+    counted = judged.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    often = materialize(counted.where(F.col("n") >= TEXTS).select("phrase"))
+    bits = documents.sparkSession.sparkContext.broadcast(_bitmap(often))
+    places = judged.select("digest", "low", "high", "phrases").mapInArrow(_possible(bits), "digest binary, low long, high long, phrase long")
+    places = materialize(places.join(often, "phrase"))
+    wide = materialize(places.groupBy("phrase").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("phrase"))
+    hits = places.join(wide, "phrase").groupBy("digest").agg(F.count(F.lit(1)).alias("n_replicated"))
     share = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(0.0)
     n_phrases = F.col("n_phrases")
     scores = judged.select("digest", "n_words", "n_listed", "n_bad", F.size("phrases").alias("n_phrases"))  # the phrases stay behind
