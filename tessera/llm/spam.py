@@ -1,11 +1,11 @@
 """Problem 9: keyword-stuffed pages, link lists and tag lists.
 
 Method: phrase shingles and list density, joined. Every page's words are put down as words of sentences, words of lists
-(links, tags, lines without an end mark) or words of phrases that the page keeps repeating. The shingles of five words
-of every sentence, and of every run of lines that are none, are exploded and their hosts and different texts counted
-over all documents. A phrase that stands on another host and in two other texts at least is replicated, and the
-share of a page's phrases that are replicated tells how far it is stitched from what stands elsewhere. Both go into
-one evidence,
+(links, tags, items between separators, lines without an end mark) or words of phrases that the page keeps repeating.
+The shingles of five words of every sentence and line (short lines run together) are exploded and their hosts and
+different texts counted over all documents. A phrase that stands on another host and in two other texts at least is
+replicated. A page is stitched as far as its phrases are replicated in short pieces; a long run of them in one sentence
+or line is a passage that others quote too, and no stitching. Both go into one evidence,
 
     bad share / DENSE + stitched share / STITCHED,
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.runtime import materialize, spread, table
@@ -35,7 +35,8 @@ from .sentences import marked_units
 
 SHINGLE = 5
 DENSE = 0.7  # of the words in lists or repeated phrases: flagged without any replicated phrase
-STITCHED = 0.8  # of the phrases replicated: flagged without any list; a page around one passage that others quote has 0.75
+STITCHED = 0.8  # of the phrases replicated in short pieces: flagged without any list
+PIECE = 8  # shingles (12 words) of the longest piece that is a phrase; more are a quoted passage
 TEXTS = 3  # different texts with a replicated phrase, the page's own among them; a text and its revision are two
 PHRASES = 20  # fewer are no evidence: terse notes may be all formula
 SHORT = 3  # words of a sentence that counts as one phrase
@@ -49,6 +50,9 @@ LINK = re.compile(
     r"<a\s[^>]*>.*?(?:</a>|$)|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|#\w+|\b(?-i:[a-z0-9][a-z0-9-]+(?:\.[a-z0-9-]{2,})*\.[a-z]{2,})\b(?:[/?:]\S*)?",
     re.I | re.M,
 )
+DOTTED = re.compile(r"[a-z0-9-]\.[a-z]{2}")
+SEPARATOR = re.compile(r"\(\d+\)|[|>•·]")
+ITEMS = re.compile(r"(?<![^\s|>•·()])(?:[^\s|>•·()]++(?:\s[^\s|>•·()]++){0,3}+\s*+(?:\(\d+\)|[|>•·])\s*+){5,}+")  # five items between separators, whatever ends the line
 WRAPPED = 3  # lines at most, above the one that ends a sentence
 LISTED = re.compile(r"[\d|#*•>/_]")
 LONG_RUN = "⺀"
@@ -99,57 +103,97 @@ def _wrapped(text: str, a: tuple[int, int], b: tuple[int, int]) -> bool:
     return gap.strip() == "" and gap.count("\n") == 1 and len(line) < 120 and not LISTED.search(line) and not then[:1].isupper()
 
 
-def _split(text: str, words: list[str], listed: list[bool], run: list[int]) -> None:
-    """Append the words of a text, whether each stands in a list, and the number of its sentence or run of lines."""
-    low = text.lower()
-    spans = marked_units(text)
-    same = len(low) == len(text)
-    unspaced = UNSPACED.search(low) is not None
-    links = [(m.start(), m.end()) for m in LINK.finditer(text)]
-    found_in = [WORD.findall(low, s, e) if same else [w.lower() for w in WORD.findall(text, s, e)] for s, e, _ in spans]
-    sentence = [mark > 0 and (len(f) >= 3 or unspaced and sum(map(weight, f)) >= 3) for f, (_, _, mark) in zip(found_in, spans)]
-    chain = 0
-    for i in range(len(spans) - 2, -1, -1):  # a wrapped line belongs to the sentence that it begins
-        chain = 0 if sentence[i] else chain
-        if not sentence[i] and sentence[i + 1] and chain < WRAPPED and _wrapped(text, spans[i][:2], spans[i + 1][:2]):
-            sentence[i], chain = True, chain + 1
-    number, before, at = run[-1] if run else 0, True, 0
-    for (s, e, _), found, whole in zip(spans, found_in, sentence):
-        number += whole or before
-        before = whole
-        flags = [not whole] * len(found)
-        while at < len(links) and links[at][1] <= s:
-            at += 1
-        if whole and at < len(links) and links[at][0] < e:  # links inside a sentence
-            k = at
-            for i, m in enumerate(WORD.finditer(text, s, e)):
-                while k < len(links) and links[k][1] <= m.start():
-                    k += 1
-                flags[i] = k < len(links) and links[k][0] <= m.start()
-        if unspaced:
-            pieces_of = [spaced(w) for w in found]
-            flags = [x for x, p in zip(flags, pieces_of) for _ in p]
-            found = [w for p in pieces_of for w in p]
-        words += found
-        listed += flags
-        run += [number] * len(found)
-
-
-def pages(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For each text: words, words in lists, words in lists or repeated phrases, and the distinct hashes of its phrases."""
-    words: list[str] = []
-    listed: list[bool] = []
-    run: list[int] = []
-    ends = []
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+class Batch:
+    """The words of many texts in one list, with the sentences and lines they stand in."""
+
+    def __init__(self) -> None:
+        self.words: list[str] = []
+        self.linked: list[int] = []  # words of sentences that stand in a link or between separators
+        self.sizes: list[int] = []  # of each sentence or line, in words
+        self.lists: list[bool] = []  # whether it is a line of a list
+        self.runs: list[int] = []  # its number; short lines that run together have one
+
+    def add(self, text: str) -> None:
+        low = text.lower()
+        spans = marked_units(text)
+        same = len(low) == len(text)
+        unspaced = UNSPACED.search(low) is not None
+        hint = "#" in text or "://" in text or "](" in text or "<a" in low or "www." in low or DOTTED.search(text)
+        links = [(m.start(), m.end()) for m in LINK.finditer(text)] if hint else []
+        if len(SEPARATOR.findall(text)) >= 5:
+            links = _joined(links + [(m.start(), m.end()) for m in ITEMS.finditer(text)])
+        found_in = [WORD.findall(low, s, e) if same else [w.lower() for w in WORD.findall(text, s, e)] for s, e, _ in spans]
+        sentence = [mark > 0 and (len(f) >= 3 or unspaced and sum(map(weight, f)) >= 3) for f, (_, _, mark) in zip(found_in, spans)]
+        chain = 0
+        for i in range(len(spans) - 2, -1, -1):  # a wrapped line belongs to the sentence that it begins
+            chain = 0 if sentence[i] else chain
+            if not sentence[i] and sentence[i + 1] and chain < WRAPPED and _wrapped(text, spans[i][:2], spans[i + 1][:2]):
+                sentence[i], chain = True, chain + 1
+        number, alone, at = self.runs[-1] if self.runs else 0, True, 0
+        for (s, e, _), found, whole in zip(spans, found_in, sentence):
+            own = whole or len(found) >= SHORT  # short lines run together
+            number += own or alone
+            alone = own
+            while at < len(links) and links[at][1] <= s:
+                at += 1
+            touched = whole and at < len(links) and links[at][0] < e
+            if unspaced or touched:
+                inside = self._linked(text, s, e, links[at:]) if touched else ()
+                begin = len(self.words)
+                for i, w in enumerate(found):
+                    parts = spaced(w) if unspaced else (w,)
+                    if i in inside:
+                        self.linked += range(len(self.words), len(self.words) + len(parts))
+                    self.words += parts
+                size = len(self.words) - begin
+            else:
+                self.words += found
+                size = len(found)
+            self.sizes.append(size)
+            self.lists.append(not whole)
+            self.runs.append(number)
+
+    @staticmethod
+    def _linked(text: str, s: int, e: int, links: list[tuple[int, int]]) -> set[int]:
+        """Which words of a sentence begin in a link."""
+        out, k = set(), 0
+        for i, m in enumerate(WORD.finditer(text, s, e)):
+            while k < len(links) and links[k][1] <= m.start():
+                k += 1
+            if k == len(links):
+                break
+            if links[k][0] <= m.start():
+                out.add(i)
+        return out
+
+
+def pages(texts: list[str], memo: Memo) -> tuple[np.ndarray, ...]:
+    """For each text: words, words in lists, words in lists or repeated phrases, phrases; and of all texts the different
+    phrases of each in order, with a 0 between sentences or lines (so no phrase has the hash 0), and how many there are."""
+    batch, ends = Batch(), []
     for t in texts:
-        _split(t, words, listed, run)
-        ends.append(len(words))
-    if len(memo) > 500_000:
+        batch.add(t)
+        ends.append(len(batch.words))
+    if len(memo) > 100_000:
         memo.clear()
+    words = batch.words
     size = np.diff(np.array([0, *ends]))
     page = np.repeat(np.arange(len(texts)), size)
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    in_list = np.array(listed, bool)
+    of = np.array(batch.sizes, np.int64)
+    in_list, number = np.repeat(np.array(batch.lists, bool), of), np.repeat(np.array(batch.runs, np.int64), of)
+    in_list[batch.linked] = True
     repeated = np.zeros(len(words), bool)
     if len(words) > 1:
         with np.errstate(over="ignore"):
@@ -160,31 +204,35 @@ def pages(texts: list[str], memo: Memo) -> tuple[np.ndarray, np.ndarray, np.ndar
         repeated[often] = repeated[often + 1] = True
         enough = np.bincount(page, repeated, len(texts)) >= REPEATED_LEAST * size
         repeated &= enough[page]
-    phrase, use = _shingles(h, np.array(run, np.int64)) if words else (h, repeated)
-    phrase = phrase.view(np.int64)
-    begin = [0, *ends]
+    phrase, use = _shingles(h, number) if words else (h, repeated)
+    phrase, owner, number = phrase[use], page[use], number[use]
+    phrase[phrase == 0] = np.uint64(1)
+    # the different phrases of each page where they stand first
+    first = np.sort(np.unique(phrase ^ mixed(owner.astype(np.uint64) + np.uint64(1)), return_index=True)[1])
+    phrase, owner, number = phrase[first].view(np.int64), owner[first], number[first]
+    n_phrases = np.bincount(owner, minlength=len(texts))
+    gap = np.flatnonzero((number[1:] != number[:-1]) & (owner[1:] == owner[:-1])) + 1
     return (
-        size.astype(np.float64), np.bincount(page, in_list, len(texts)), np.bincount(page, in_list | repeated, len(texts)),
-        [np.unique(phrase[a:b][use[a:b]]) for a, b in zip(begin, ends)],
+        size.astype(np.float64), np.bincount(page, in_list, len(texts)), np.bincount(page, in_list | repeated, len(texts)), n_phrases,
+        np.insert(phrase, gap, 0), n_phrases + np.bincount(owner[gap], minlength=len(texts)),
     )
 
 
 def page(text: str) -> tuple[float, float, float]:
     """(words, words in lists, words in lists or repeated phrases) of one text."""
-    n, lists, bad, _ = pages([text], Memo())
+    n, lists, bad, *_ = pages([text], Memo())
     return float(n[0]), float(lists[0]), float(bad[0])
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = Memo()
-    for batch, texts in pieces(batches, "text"):
-        n, lists, bad, phrases = pages(texts, memo)
-        offsets = np.zeros(len(phrases) + 1, np.int32)
-        np.cumsum([len(x) for x in phrases], out=offsets[1:])
-        held = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *phrases])))
+    for batch, texts in pieces(batches, "text", 400_000):
+        n, lists, bad, n_phrases, phrases, held = pages(texts, memo)
+        offsets = np.zeros(len(texts) + 1, np.int32)
+        np.cumsum(held, out=offsets[1:])
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(3)), pa.array(n), pa.array(lists), pa.array(bad), held],
-            names=["digest", "low", "high", "n_words", "n_listed", "n_bad", "phrases"],
+            [*(batch.column(i) for i in range(3)), pa.array(n), pa.array(lists), pa.array(bad), pa.array(n_phrases, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(phrases))],
+            names=["digest", "low", "high", "n_words", "n_listed", "n_bad", "n_phrases", "phrases"],
         )
 
 
@@ -198,9 +246,10 @@ def _possible(shared):
             phrase = column.flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
             slot = phrase & (SLOTS - 1)
-            keep = (words[slot >> 6] >> (slot & 63)) & 1 == 1
+            keep = ((words[slot >> 6] >> (slot & 63)) & 1 == 1) & (phrase != 0)
             of = pa.array(owner[keep])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(3)), pa.array(phrase[keep])], names=["digest", "low", "high", "phrase"])
+            place = np.arange(len(phrase), dtype=np.int64)[keep]  # only its distance to others of the page counts
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(3)), pa.array(phrase[keep]), pa.array(place)], names=["digest", "low", "high", "phrase", "place"])
 
     return run
 
@@ -215,11 +264,11 @@ def _bitmap(phrases: DataFrame) -> np.ndarray:
 
 
 def scored(documents: DataFrame, most: int = BROADCAST_TEXTS) -> DataFrame:
-    """`documents(doc_id, source STRING, text STRING)` to (doc_id, n_words, list_share, bad_share, stitched_share, evidence, spam).
+    """`documents(doc_id, source STRING, text STRING)` to (doc_id, n_words, list_share, bad_share, replicated_share, stitched_share, evidence, spam).
 
     The source is the host; a null source is a host of its own. Null texts give no row; texts without a word are not
-    spam and have the evidence 0. `stitched_share` is that of a page's phrases that stand on two hosts and in three
-    texts at least, null without a phrase.
+    spam and have the evidence 0. `replicated_share` is that of a page's phrases that stand on two hosts and in three
+    texts at least, `stitched_share` that of those in short pieces; both are null without a phrase.
     """
     host = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("host")
     digest_of_text = F.unhex(F.md5("text"))
@@ -236,22 +285,26 @@ def scored(documents: DataFrame, most: int = BROADCAST_TEXTS) -> DataFrame:
     texts = several.groupBy("text").agg(F.min("host").alias("low"), F.max("host").alias("high")).select(digest, "low", "high", "text")
     judged = materialize(
         (texts if once is None else once.unionByName(texts))
-        .mapInArrow(_pages, "digest binary, low long, high long, n_words double, n_listed double, n_bad double, phrases array<long>")
+        .mapInArrow(_pages, "digest binary, low long, high long, n_words double, n_listed double, n_bad double, n_phrases long, phrases array<long>")
     )
     # texts are counted for every phrase, hosts only for those in enough texts
-    counted = judged.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    counted = judged.select(F.explode("phrases").alias("phrase")).where("phrase <> 0").groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
     often = materialize(counted.where(F.col("n") >= TEXTS).select("phrase"))
     bits = documents.sparkSession.sparkContext.broadcast(_bitmap(often))
-    places = judged.select("digest", "low", "high", "phrases").mapInArrow(_possible(bits), "digest binary, low long, high long, phrase long")
+    places = judged.select("digest", "low", "high", "phrases").mapInArrow(_possible(bits), "digest binary, low long, high long, phrase long, place long")
     places = materialize(places.join(often, "phrase"))
     wide = materialize(places.groupBy("phrase").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("phrase"))
-    hits = places.join(wide, "phrase").groupBy("digest").agg(F.count(F.lit(1)).alias("n_replicated"))
+    # replicated phrases that follow each other are one piece; a page's pieces are bounded by its text
+    replicated = places.join(wide, "phrase").select("digest", "place")
+    piece = F.col("place") - F.row_number().over(Window.partitionBy("digest").orderBy("place"))
+    pieces_ = replicated.withColumn("piece", piece).groupBy("digest", "piece").agg(F.count(F.lit(1)).alias("n"))
+    hits = pieces_.groupBy("digest").agg(F.sum("n").alias("n_replicated"), F.sum(F.when(F.col("n") <= PIECE, F.col("n")).otherwise(0)).alias("n_stitched"))
     share = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words")).otherwise(0.0)
     n_phrases = F.col("n_phrases")
-    scores = judged.select("digest", "n_words", "n_listed", "n_bad", F.size("phrases").alias("n_phrases"))  # the phrases stay behind
+    scores = judged.select("digest", "n_words", "n_listed", "n_bad", "n_phrases")  # the phrases stay behind
     each_page = scores.join(hits, "digest", "left").select(
         "digest", F.col("n_words").cast("long").alias("n_words"), share("n_listed").alias("list_share"), share("n_bad").alias("bad_share"),
-        F.when(n_phrases > 0, F.coalesce("n_replicated", F.lit(0)) / n_phrases).alias("stitched_share"), "n_phrases",
+        *(F.when(n_phrases > 0, F.coalesce(f"n_{c}", F.lit(0)) / n_phrases).alias(f"{c}_share") for c in ("replicated", "stitched")), "n_phrases",
     )
     stitched = F.when(F.col("n_phrases") >= PHRASES, F.col("stitched_share")).otherwise(0.0)
     each_page = each_page.withColumn("evidence", F.col("bad_share") / DENSE + stitched / STITCHED).withColumn("spam", F.col("evidence") >= 1).drop("n_phrases")

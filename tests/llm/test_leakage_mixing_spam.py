@@ -85,7 +85,7 @@ PROSE = "The reader of the old copy compares each leaf with care. He doubts the
 SPAM = [
     "cheap lamp | best lamp | lamp sale | cheap lamp | lamp sale | best lamp | cheap lamp | lamp sale | best lamp", "#lamp #ink_well #paper #old #sale #best #cheap #lamp2 #rope", "lamp in Rome, lamp near Paris, lamp in Oslo, lamp near Bonn, lamp in Cairo, lamp near Lima",
     "ink L36 SKU-123 5.00 sale\npen M20 SKU-124 6.00 sale\ncup S30 SKU-999 7.10 sale", "[a b](http://x.test/1)\n[c d](http://x.test/2)\n<a href=\"y.example/3\">e f</a>\nwww.z.example/q", "Best lamp here! Best lamp cheap. Best lamp here! Best lamp cheap. Cheap lamp best lamp. Best lamp here best lamp.",
-    PROSE + "\n" + " > ".join(f"item{i}" for i in range(90)),
+    PROSE + "\n" + " > ".join(f"item{i}" for i in range(90)), "PROSE " + " ".join(f"tag{i} ({i})" for i in range(60)) + " and the reader closes it.",
 ]
 CLEAN = [PROSE * 2, "Notes to the first leaf\n1. On the winter\n2. On the path\n\n" + PROSE * 2, PROSE + "See [this](http://x.test/a) and [that](http://x.test/b) too. #lamp", PROSE + "The refrain comes back.\n" + PROSE.replace("old", "new") + "The refrain comes back.", "A short note. Very terse.", "", "…", "Gloss: a note in the margin that explains a word.\nLeaf: one sheet of a book, of two pages."]
 
@@ -104,13 +104,17 @@ def test_replicated_phrases_decide_between(spark):
     """Pages of one density differ by replication alone: list phrases on other hosts and in other texts, or not."""
     r = random.Random(8)
     prose = lambda: " ".join("".join(r.choices("abcdefghijk", k=6)) for _ in range(24)).capitalize() + "."
-    shared, df = " ".join(f"part{i}" for i in range(30)), lambda x: spark.createDataFrame(x, "doc_id long, source string, text string")
-    rows = [(i, f"h{i % 2}", prose() + "\n" + shared) for i in range(4)] + [(10 + i, f"h{i}", prose() + "\n" + " ".join(f"own{i}{k}" for k in range(30))) for i in range(4)]
-    copied = prose() + "\n" + " ".join(f"copied{k}" for k in range(30))
+    lines = lambda kind: "\n".join(" ".join(f"{kind}{i}x{k}" for k in range(6)) for i in range(5))
+    shared, df = lines("part"), lambda x: spark.createDataFrame(x, "doc_id long, source string, text string")
+    rows = [(i, f"h{i % 2}", prose() + "\n" + shared) for i in range(4)] + [(10 + i, f"h{i}", prose() + "\n" + lines(f"own{i}")) for i in range(4)]
+    copied = prose() + "\n" + lines("copied")
+    passage = " ".join(f"quoted{k}" for k in range(30))  # one that others quote too is no stitching
+    rows += [(30 + i, f"h{i}", prose() + "\n" + passage) for i in range(4)]
     rows += [(20 + i, f"h{i}", copied) for i in range(4)]
     got = {x.doc_id: x for x in spam.scored(df(rows)).collect()}
     assert len({round(x.bad_share, 9) for x in got.values()}) == 1 and got[0].bad_share < spam.DENSE
     assert {i for i, x in got.items() if x.spam} == {0, 1, 2, 3} and got[20].stitched_share == 0
+    assert got[30].stitched_share == 0 < got[30].replicated_share
     one_host = spam.scored(df([(i, "h", t) for i, _, t in rows])).collect()
     assert not any(x.spam for x in one_host)
 
