@@ -103,7 +103,7 @@ def brute_links(mentions, blocks, n):
     return out
 
 
-def test_links_equal_brute_force(spark):
+def test_links_equal_brute_force(spark, monkeypatch):
     random.seed(3)
     text = lambda k: " ".join(random.choices("abc", k=k))
     mentions = [(i, text(random.randint(2, 9))) for i in range(30)] + [(99, None), (98, "")]
@@ -112,7 +112,7 @@ def test_links_equal_brute_force(spark):
     b = spark.createDataFrame(blocks, "source string, b long, text string")
     want = brute_links(mentions, blocks, 4)
     for bound in (200_000, 1):
-        matching.BROADCAST_RUNS = bound
+        monkeypatch.setattr(matching, "BROADCAST_RUNS", bound)
         got = {r.m: r for r in matching.links(m, b, "m", "source", "b", words=4).collect()}
         assert {k: None if v.status == "NO_MATCH" else (v.source, v.block, v.m_pos, v.b_pos) for k, v in got.items()} == want
     none = matching.links(m, b.limit(0), "m", "source", "b", words=4).collect()
