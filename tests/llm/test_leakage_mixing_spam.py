@@ -97,6 +97,8 @@ def test_spam(spark):
     assert [t for i, t in enumerate(SPAM) if not got[i].spam] == []
     assert [t for i, t in enumerate(CLEAN) if got[100 + i].spam] == []
     assert 200 not in got and got[201].spam
+    key = lambda x: sorted(map(tuple, x.collect()), key=repr)
+    assert key(spam.scored(df, most=0)) == key(spam.scored(df))  # too many repeated texts to broadcast: all are grouped
     assert spam.scored(df.limit(0)).count() == 0
 
 
